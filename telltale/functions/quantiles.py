@@ -30,11 +30,16 @@ def _base(df: DataFrame, keys: list[str], value: str | Column, weight: str | Col
             .where(F.col("_v").isNotNull() & (F.col("_w") > 0)))
 
 
-def _group_facts(base: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    facts = materialize(base.groupBy(*keys).agg(
+def _largest(base: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: one map-side combined count, one number to the driver."""
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def _group_facts(base: DataFrame, keys: list[str]) -> DataFrame:
+    return materialize(base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_w").alias("total"),
         F.percentile_approx("_v", [0.001, 0.999], 1000).alias("_span")))
-    return facts, facts.agg(F.max("n")).first()[0] or 0
 
 
 def _goals(facts: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
@@ -56,7 +61,8 @@ def _window(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
 
 
-def _select_small(base, facts, keys, targets):
+def _select_small(base, keys, targets):
+    facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("total"))
     w = _window(keys, "_v")
     ordered = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")).select(
         *keys, "_v", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
@@ -64,7 +70,8 @@ def _select_small(base, facts, keys, targets):
     return _pick(ordered, _goals(facts, keys, targets), keys, keys, targets)
 
 
-def _select_large(base, facts, keys, targets):
+def _select_large(base, keys, targets):
+    facts = _group_facts(base, keys)
     low, high = F.col("_span")[0], F.col("_span")[1]
     bin_ = (F.when(F.col("_v") < low, F.lit(-1)).when(F.col("_v") > high, F.lit(BINS)).when(high == low, F.lit(0))
             .otherwise(F.floor((F.col("_v") - low) / (high - low) * (BINS - 1)))).cast("int").alias("_bin")
@@ -97,9 +104,8 @@ def select_by_weight(df: DataFrame, keys: list[str], value: str | Column, target
     row per group: keys, n, total and a double column per target.
     """
     base = _base(df, keys, value, weight)
-    facts, largest = _group_facts(base, keys)
-    path = _select_small if largest <= (GROUP_LIMIT if limit is None else limit) else _select_large
-    return path(base, facts, keys, targets)
+    small = _largest(base, keys) <= (GROUP_LIMIT if limit is None else limit)
+    return (_select_small if small else _select_large)(base, keys, targets)
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float],
@@ -110,9 +116,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs
     """
     base = _base(df, keys, value, None)
     bound = GROUP_LIMIT if limit is None else limit
-    facts = None
     if largest is None or largest > bound:
-        facts, largest = _group_facts(base, keys)
+        largest = _largest(base, keys)
     if largest <= bound:
         return base.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.percentile("_v", list(probs.values())).alias("_q")).select(
@@ -121,7 +126,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs
     for name, p in probs.items():
         targets[f"_{name}_lo"] = F.floor((F.col("n") - 1) * F.lit(p)) + 1
         targets[f"_{name}_hi"] = F.ceil((F.col("n") - 1) * F.lit(p)) + 1
-    found = _select_large(base, facts, keys, targets)
+    found = _select_large(base, keys, targets)
     columns = []
     for name, p in probs.items():
         part = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))

@@ -110,7 +110,7 @@ def warming_rate(masked: DataFrame, clock: DataFrame, chunk_seconds: int = 30 *
 def car_features(df: DataFrame, cars: list[str], modes: tuple[str, ...] = COOLING_MODES) -> DataFrame:
     """Weighted summaries per car, for all eight cars of every case."""
     grid = full_grid(df, cars)
-    masked = cooling_mask(grid, modes)
+    masked = materialize(cooling_mask(grid, modes))
     clock = materialize(case_clock(df))
     gaps = peer_gap(masked)
     weighted = clock.select("file_id", "ts", "weight")

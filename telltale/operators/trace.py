@@ -1,7 +1,7 @@
 """Bounded previews of long traces, runs of measured readings, nearest readings."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import linspace_index, micros
 from telltale.functions.ordered import DAY, block_of, islands, position_chunk, scan, time_chunk
@@ -27,7 +27,7 @@ def sampled_points(df: DataFrame, keys: list[str], order: list[str], chunk: Colu
     between two kept ones. Only the kept rows (at most max_points per stream) are
     compared with each other.
     """
-    valid = F.coalesce(~F.isnan(x) & ~F.isnan(y), F.lit(False))
+    valid = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     rows = numbered(df.withColumns({"x": x, "y": y, "_good": valid, "_break": gap}), keys, order, chunk,
                     gap=F.coalesce("_break", F.lit(False)), valid=F.col("_good"))
     k = F.least(F.lit(min(max_points, 400)).cast("long"), F.col("n"))
@@ -37,7 +37,6 @@ def sampled_points(df: DataFrame, keys: list[str], order: list[str], chunk: Colu
     inside = [(j >= 0) & (j < k) for j in (guess - 1, guess, guess + 1)]
     keep = (hits[0] & inside[0]) | (hits[1] & inside[1]) | (hits[2] & inside[2])
     kept = rows.where(keep & F.col("x").isNotNull())
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy("i")
     joined = kept.withColumns({
         "_pg": F.lag("_good").over(w), "_pm": F.lag("_missing").over(w), "_pb": F.lag("_gaps").over(w)})

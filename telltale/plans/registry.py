@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fleet",)
+MODULES = ("fleet", "streams", "cases", "signals")
 
 
 def catalog() -> dict:

@@ -43,12 +43,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a small fitted table to the shared folder and read it back.
+    """Write a table to the shared folder and read it back.
 
     Cuts lineage on reliable storage, so a lost executor costs a re-read only, and gives
     the planner the true size, so later joins broadcast only what is really small. Used
-    for fitted tables (group facts, reference statistics, labels of a graph round), never
-    to keep raw readings.
+    for fitted tables (group facts, reference statistics, labels of a graph round) and
+    for a derived input that several later steps would otherwise compute again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/telltale/{uuid.uuid4().hex}"
