@@ -87,7 +87,7 @@ def path_positions(spark, sf_dir):
 def footprints(spark, sf_dir):
     """Order lines as polygon vertices: one ring per order and return flag."""
     li = tables.table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("x"),
+    return li.select("l_orderkey", "l_returnflag", F.struct("l_linenumber", "l_partkey").alias("seq"), F.col("l_quantity").alias("x"),
                      (F.col("l_discount") * 1000).alias("y"))
 
 
@@ -122,7 +122,7 @@ po AS (SELECT train_id, any_value(ts) AS ts, min(lat) FILTER (ok) AS lat, min(ln
   FROM (SELECT *, coalesce(lat BETWEEN 1.14 AND 1.50 AND lng BETWEEN 103.53 AND 104.51, false) AS ok FROM la) GROUP BY train_id
   HAVING count(DISTINCT CASE WHEN ok THEN lat || ',' || lng END) = 1)"""
 RING = """
-v AS (SELECT l_orderkey, l_returnflag, l_linenumber AS seq, l_quantity AS x, l_discount * 1000 AS y FROM lineitem),
+v AS (SELECT l_orderkey, l_returnflag, (l_linenumber, l_partkey) AS seq, l_quantity AS x, l_discount * 1000 AS y FROM lineitem),
 o AS (SELECT *, x - first_value(x) OVER w AS a, y - first_value(y) OVER w AS b, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy
   FROM v WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 n AS (SELECT *, coalesce(lead(a) OVER w, 0) AS an, coalesce(lead(b) OVER w, 0) AS bn FROM o WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq)),

@@ -41,7 +41,7 @@ def shipment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_suppkey").alias("stream_id"), F.col("l_shipdate").alias("ts"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("ord"),
         F.col("l_quantity").alias("current"), F.col("l_extendedprice").alias("voltage"),
         F.col("l_discount").alias("back_emf"), F.col("l_tax").alias("position"),
         (F.col("l_returnflag") == "R").cast("double").alias("opening"),
