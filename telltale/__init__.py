@@ -1 +1,7 @@
 """Condition-monitoring analytics as Spark DataFrame operators."""
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with their job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,8 +1,8 @@
 """Exact order statistics of groups of any size.
 
-The built-in exact `percentile` merges every distinct value of a group in one task. It
-is used while the largest group is known to be small. Beyond that the search is narrowed
-first: a mergeable sketch gives a robust value range, a histogram over that range (at
+The built-in exact `percentile` merges every distinct value of a group in one task. While
+the largest group is known to be small, that (or one ordering per group) is used. Beyond
+that the search is narrowed first: a mergeable sketch gives a robust value range, a histogram over that range (at
 most BINS rows per group) finds the bin that holds the wanted rank, and only that bin's
 distinct values are ordered. Everything before the last step is combined map-side, so a
 group with a third of all rows costs no more than its share of the scan.
@@ -62,12 +62,16 @@ def _window(keys: list[str], *order: str):
 
 
 def _select_small(base, keys, targets):
-    facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("total"))
+    """One ordering per group: cumulative weight, group totals and the first value at each target."""
     w = _window(keys, "_v")
-    ordered = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")).select(
+    whole = Window.partitionBy(*keys)
+    ordered = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_c")).select(
         *keys, "_v", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
-        F.lead("_v").over(w).isNull().alias("_end"))
-    return _pick(ordered, _goals(facts, keys, targets), keys, keys, targets)
+        F.sum("_c").over(whole).alias("n"), F.sum("_w").over(whole).alias("total"))
+    return ordered.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("total").alias("total"),
+        *[F.coalesce(F.min(F.when(F.col("_cum") >= target, F.col("_v"))), F.max("_v")).alias(name)
+          for name, target in targets.items()])
 
 
 def _select_large(base, keys, targets):
@@ -96,7 +100,8 @@ def _select_large(base, keys, targets):
 
 
 def select_by_weight(df: DataFrame, keys: list[str], value: str | Column, targets: dict[str, Column],
-                     weight: str | Column | None = None, limit: int | None = None) -> DataFrame:
+                     weight: str | Column | None = None, limit: int | None = None,
+                     largest: int | None = None) -> DataFrame:
     """Per group and target: the smallest value whose cumulative weight reaches the target.
 
     A target is an expression over `n` (rows) and `total` (weight) of the group. Rows
@@ -104,7 +109,10 @@ def select_by_weight(df: DataFrame, keys: list[str], value: str | Column, target
     row per group: keys, n, total and a double column per target.
     """
     base = _base(df, keys, value, weight)
-    small = _largest(base, keys) <= (GROUP_LIMIT if limit is None else limit)
+    bound = GROUP_LIMIT if limit is None else limit
+    if largest is None or largest > bound:
+        largest = _largest(base, keys)
+    small = largest <= bound
     return (_select_small if small else _select_large)(base, keys, targets)
 
 

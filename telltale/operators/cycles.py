@@ -5,24 +5,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telltale.functions.columns import micros
-from telltale.functions.ordered import DAY, position_chunk, scan, time_chunk
+from telltale.functions.ordered import DAY, fits_task, position_chunk, scan, time_chunk
 from telltale.functions.quantiles import grouped_quantiles, select_by_weight
 from telltale.session import materialize
 
 FILE = ["file_id"]
 # Exponents of the amplitude moments.
 MOMENT_POWERS = (2, 3, 4, 5, 6, 7, 8)
-CYCLE_SCHEMA = "file_id long, chunk long, seq long, value double, range double, mean double, count double"
 CHUNK_POINTS = 500_000
 
 
-def turning_points(series: DataFrame, chunk: Column | None = None) -> DataFrame:
+def turning_points(series: DataFrame, chunk: Column | None = None, bounded: bool | None = None) -> DataFrame:
     """First, last and every point where the direction turns; repeats of a value are skipped."""
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
     order = ["ts", "ord"]
-    step = scan(series, FILE, order, chunk, lag={"_before": F.col("value")})
+    small = fits_task(series, FILE) if bounded is None else bounded
+    step = scan(series, FILE, order, chunk, lag={"_before": F.col("value")}, bounded=small)
     changed = step.where(F.col("_before").isNull() | (F.col("_before") != F.col("value"))).drop("_before")
-    ends = scan(changed, FILE, order, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")})
+    ends = scan(changed, FILE, order, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")}, bounded=small)
     turn = (F.col("value") - F.col("_b")) * (F.col("_a") - F.col("value")) < 0
     return ends.where(F.col("_b").isNull() | F.col("_a").isNull() | turn).select(*FILE, "ts", "ord", "value")
 
@@ -64,24 +64,36 @@ def _halves(points: list[float], out: list[tuple[float, float, float]]) -> None:
         out.append((abs(b - a), (a + b) / 2, 0.5))
 
 
-def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    closed: list[tuple[float, float, float]] = []
-    left = _reduce(pdf["value"].tolist(), closed)
-    file_id, chunk = pdf["file_id"].iloc[0], pdf["chunk"].iloc[0]
-    rows = [(file_id, chunk, None, None, *c) for c in closed]
-    rows += [(file_id, chunk, i, v, None, None, None) for i, v in enumerate(left)]
-    return pd.DataFrame(rows, columns=["file_id", "chunk", "seq", "value", "range", "mean", "count"]).astype(
-        {"seq": "Int64", "value": "float64", "range": "float64", "mean": "float64", "count": "float64"})
+PART = "closed array<struct<range: double, mean: double, count: double>>, rest array<double>"
+CYCLES = "array<struct<range: double, mean: double, count: double>>"
 
 
-def _final(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["chunk", "seq"])
-    out: list[tuple[float, float, float]] = []
-    _halves(pdf["value"].tolist(), out)
-    frame = pd.DataFrame(out, columns=["range", "mean", "count"])
-    frame.insert(0, "file_id", pdf["file_id"].iloc[0])
-    return frame
+def _close_inner(points: pd.Series) -> pd.DataFrame:
+    out = []
+    for values in points:
+        closed: list[tuple[float, float, float]] = []
+        rest = _reduce(values.tolist(), closed)
+        out.append(([dict(zip(("range", "mean", "count"), c)) for c in closed], rest))
+    return pd.DataFrame(out, columns=["closed", "rest"])
+
+
+def _count_rest(points: pd.Series) -> pd.Series:
+    out = []
+    for values in points:
+        counted: list[tuple[float, float, float]] = []
+        _halves(values.tolist(), counted)
+        out.append([dict(zip(("range", "mean", "count"), c)) for c in counted])
+    return pd.Series(out)
+
+
+def _gathered(rest: DataFrame, *keys: str) -> DataFrame:
+    """Points of a group in order, as one array of at most a chunk's length.
+
+    The number of partitions is given, as the Python step after it costs more than its bytes show.
+    """
+    width = rest.sparkSession.sparkContext.defaultParallelism
+    return rest.repartition(max(width, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda p: p["value"]).alias("points"))
 
 
 def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points: int = CHUNK_POINTS) -> DataFrame:
@@ -92,28 +104,33 @@ def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points
     in order and counted once per file.
     """
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
-    points = scan(turning_points(series, chunk), FILE, ["ts", "ord"], chunk, position="_pos")
+    small = fits_task(series, FILE)
+    points = scan(turning_points(series, chunk, small), FILE, ["ts", "ord"], chunk, position="_pos", bounded=small)
     points = materialize(points.select(
         F.col("file_id").cast("long").alias("file_id"), position_chunk(F.col("_pos") - 1, chunk_points).alias("chunk"),
         F.col("_pos").alias("seq"), "value"))
     longest = points.agg(F.max("seq")).first()[0] or 0
     closed = None
     rest = points
+    close_inner, count_rest = F.pandas_udf(_close_inner, PART), F.pandas_udf(_count_rest, CYCLES)
     while longest > chunk_points:
-        part = materialize(rest.groupBy("file_id", "chunk").applyInPandas(_partial, CYCLE_SCHEMA))
-        done = part.where("range is not null").select("file_id", "range", "mean", "count")
+        part = materialize(_gathered(rest, "file_id", "chunk").select(
+            "file_id", "chunk", close_inner("points").alias("_p")).select("file_id", "chunk", "_p.*"))
+        done = part.select("file_id", F.explode("closed").alias("_c")).select("file_id", "_c.*")
         closed = done if closed is None else closed.unionByName(done)
-        left = part.where("value is not null")
-        sizes = left.groupBy("file_id", "chunk").agg(F.count(F.lit(1)).alias("k"))
         before = longest
-        longest = sizes.groupBy("file_id").agg(F.sum("k").alias("k")).agg(F.max("k")).first()[0] or 0
+        sizes = part.groupBy("file_id").agg(F.sum(F.size("rest")).alias("k"))
+        longest = sizes.agg(F.max("k")).first()[0] or 0
         # Sixteen neighbours go together next; stop when nothing shrinks any more.
+        left = part.select("file_id", "chunk", F.posexplode("rest").alias("_i", "value"))
         rest = left.select(
             "file_id", F.floor(F.col("chunk") / 16).cast("long").alias("chunk"),
-            (F.col("chunk") % 16 * F.lit(10**9) + F.col("seq")).alias("seq"), "value")
+            (F.col("chunk") % 16 * F.lit(10**9) + F.col("_i")).alias("seq"), "value")
         if longest >= before:
             break
-    counted = rest.groupBy("file_id").applyInPandas(_final, "file_id long, range double, mean double, count double")
+    ordered = rest.withColumn("seq", F.struct("chunk", "seq"))
+    counted = _gathered(ordered, "file_id").select("file_id", F.explode(count_rest("points")).alias("_c")).select(
+        "file_id", "_c.*")
     cycles = counted if closed is None else counted.unionByName(closed)
     return cycles.where("range > 0")
 
@@ -122,7 +139,7 @@ def series_statistics(series: DataFrame, chunk: Column | None = None) -> DataFra
     """Eleven amplitude features and the total variation of every series."""
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
     v = F.col("value")
-    step = scan(series, FILE, ["ts", "ord"], chunk, lag={"_before": v})
+    step = scan(series, FILE, ["ts", "ord"], chunk, lag={"_before": v}, bounded=fits_task(series, FILE))
     basic = step.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("samples"), F.avg(v).alias("mean_stress"), F.avg(F.abs(v)).alias("_am"),
         F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_pop(v).alias("_sd"), (F.max(v) - F.min(v)).alias("range"),

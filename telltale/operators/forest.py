@@ -75,7 +75,10 @@ def fit_forest(rows: DataFrame, features: list[str], *, trees: int = TREES, samp
     dealt = dealt.withColumn("_draw", draw).where(F.col("_draw") < share * (2 * sample + 64) / F.col("_n"))
     w = Window.partitionBy("component", "tree").orderBy("_draw", "ord")
     picked = dealt.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample)
-    grown = picked.select("component", "tree", "x").groupBy("component", "tree").applyInPandas(
+    # At most trees × sample rows per component: few bytes, but each tree is worth a place of its own.
+    width = rows.sparkSession.sparkContext.defaultParallelism
+    spread = picked.select("component", "tree", "x").repartition(4 * width, "component", "tree")
+    grown = spread.groupBy("component", "tree").applyInPandas(
         lambda pdf: _grow(pdf, seed), TREE_SCHEMA)
     return materialize(grown)
 
@@ -146,6 +149,8 @@ def raw_scores(rows: DataFrame, forest: DataFrame, features: list[str], limit: i
 
 def offsets(trained: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Per component: the raw score that the given share of training rows exceeds."""
+    # Scores come from a Python pass; keep the two columns instead of scoring once per step.
+    trained = materialize(trained.select("component", "raw"))
     return materialize(grouped_quantiles(trained, ["component"], "raw", {"offset": 1 - contamination}).select("component", "offset"))
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telltale.functions.ordered import DAY, scan, time_chunk
+from telltale.functions.ordered import DAY, fits_task, scan, time_chunk
 
 # Title, priority and timeframe by status.
 STATUS_RULES = {
@@ -105,7 +105,8 @@ def order_events(log: DataFrame, chunk_seconds: int = 30 * DAY) -> DataFrame:
     running maximum. An event at that rank changes nothing; one below it is rejected.
     """
     ranked = log.withColumn("_rank", state_rank("status"))
-    seen = scan(ranked, ["order_id"], ["ts", "ord"], time_chunk("ts", chunk_seconds), peak={"_before": F.col("_rank")})
+    seen = scan(ranked, ["order_id"], ["ts", "ord"], time_chunk("ts", chunk_seconds), peak={"_before": F.col("_rank")},
+                bounded=fits_task(log, ["order_id"]))
     before = F.coalesce("_before", F.lit(0))
     outcome = (F.when(F.col("_rank").isNull(), "invalid").when(F.col("_rank") < before, "rejected")
                .when(F.col("_rank") == before, "unchanged").otherwise("applied"))

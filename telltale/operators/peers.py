@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import array_median, micros
-from telltale.functions.ordered import DAY, scan, time_chunk
+from telltale.functions.ordered import DAY, fits_task, scan, time_chunk
 from telltale.functions.quantiles import select_by_weight
 from telltale.session import materialize
 
@@ -59,7 +59,7 @@ def case_clock(df: DataFrame, chunk_seconds: int = 30 * DAY) -> DataFrame:
     """
     times = df.select("file_id", "ts").distinct()
     steps = scan(times, ["file_id"], ["ts"], time_chunk("ts", chunk_seconds),
-                 lag={"_before": micros("ts")}, lead={"_after": micros("ts")})
+                 lag={"_before": micros("ts")}, lead={"_after": micros("ts")}, bounded=fits_task(df, ["file_id"]))
     steps = steps.select("file_id", "ts", ((micros("ts") - F.col("_before")) / 1e6).alias("dt"),
                          ((F.col("_after") - micros("ts")) / 1e6).alias("next_dt"))
     counts = steps.where("dt is not null").groupBy("file_id", "dt").agg(F.count(F.lit(1)).alias("_c"))
@@ -100,7 +100,8 @@ def warming_rate(masked: DataFrame, clock: DataFrame, chunk_seconds: int = 30 *
     """Change per minute between adjacent readings of an unchanged cooling regime."""
     rows = masked.join(clock, ["file_id", "ts"])
     kept = scan(rows, CAR, ["ts"], time_chunk("ts", chunk_seconds), lag={
-        "_signal": F.col("signal"), "_mask": F.col("mask"), "_mode": F.col("mode"), "_target": F.col("target")})
+        "_signal": F.col("signal"), "_mask": F.col("mask"), "_mode": F.col("mode"), "_target": F.col("target")},
+        bounded=fits_task(masked, CAR))
     stable = (F.col("mask") & F.col("_mask") & (F.col("mode") == F.col("_mode"))
               & (F.col("target") == F.col("_target")) & (F.col("dt") <= 3 * F.col("cadence")))
     return kept.where(stable).select(

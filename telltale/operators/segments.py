@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import micros, seconds_between
-from telltale.functions.ordered import DAY, block_of, islands, scan, time_chunk
-from telltale.functions.quantiles import grouped_median, grouped_quantiles
+from telltale.functions.ordered import DAY, block_of, fits_task, islands, scan, time_chunk
+from telltale.functions.quantiles import GROUP_LIMIT, grouped_median, grouped_quantiles
 from telltale.session import materialize
 
 STREAM = ["stream_id"]
@@ -16,7 +16,8 @@ NORMAL, ABNORMAL = "Normal", "Abnormal resistance"
 
 def stream_intervals(df: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """Seconds since the previous reading of the stream."""
-    return scan(df, STREAM, ORDER, time_chunk("ts", chunk_seconds), lag={"_prev": micros("ts")}).withColumn(
+    return scan(df, STREAM, ORDER, time_chunk("ts", chunk_seconds), lag={"_prev": micros("ts")},
+                bounded=fits_task(df, STREAM)).withColumn(
         "dt", (micros("ts") - F.col("_prev")) / 1e6).drop("_prev")
 
 
@@ -45,7 +46,7 @@ def segment_stream(df: DataFrame, gap: Column | float, keys: list[str] = STREAM,
     gap = F.lit(float(gap)) if isinstance(gap, (int, float)) else gap
     return islands(
         df, keys, order, time_chunk("ts", chunk_seconds), {"us": micros("ts"), "gap": gap},
-        lambda before, now: (now["us"] - before["us"]) / 1e6 > now["gap"], "segment")
+        lambda before, now: (now["us"] - before["us"]) / 1e6 > now["gap"], "segment", fits_task(df, keys))
 
 
 def segment_bounds(segmented: DataFrame) -> DataFrame:
@@ -53,24 +54,41 @@ def segment_bounds(segmented: DataFrame) -> DataFrame:
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n_rows"))
 
 
+STATISTICS = ("mean", "std", "min", "max", "rms", "q10", "q50", "q90", "change", "variation")
+QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+
+
 def action_features(segmented: DataFrame, channels: list[str], chunk_seconds: int = DAY) -> DataFrame:
     """Ten statistics per action and channel, missing readings left out.
 
     One row per (stream, segment, channel): mean, std, min, max, rms, q10, q50, q90, the
     change from first to last reading and the mean absolute step.
     """
-    keys = [*STREAM, "segment", "channel"]
-    cells = segmented.select(*STREAM, "segment", *ORDER, *channels).unpivot(
-        [*STREAM, "segment", *ORDER], channels, "channel", "v").where(F.col("v").isNotNull())
-    steps = scan(cells, keys, ORDER, time_chunk("ts", chunk_seconds), lag={"_before": F.col("v")})
+    keys = [*STREAM, "segment"]
+    # Cutting a stream costs a shuffle; the steps below read the cut rows instead of repeating it.
+    rows = materialize(segmented.select(*keys, *ORDER, *channels))
+    small = fits_task(rows, keys, GROUP_LIMIT)
+    steps = scan(rows, keys, ORDER, time_chunk("ts", chunk_seconds), seen={f"_b_{c}": F.col(c) for c in channels}, bounded=small)
     order = F.struct(*ORDER)
-    basic = steps.groupBy(*keys).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"),
-        (F.max_by("v", order) - F.min_by("v", order)).alias("change"),
-        F.coalesce(F.avg(F.abs(F.col("v") - F.col("_before"))), F.lit(0.0)).alias("variation"))
-    spread = grouped_quantiles(cells, keys, "v", {"q10": 0.1, "q50": 0.5, "q90": 0.9}).drop("n")
-    return basic.join(spread, keys)
+
+    def statistics(c: str) -> Column:
+        v, at = F.col(c), F.when(F.col(c).isNotNull(), order)
+        step = F.avg(F.abs(v - F.col(f"_b_{c}")))
+        plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                 F.sqrt(F.avg(v * v)).alias("rms"), (F.max_by(v, at) - F.min_by(v, at)).alias("change"),
+                 F.when(F.count(v) > 0, F.coalesce(step, F.lit(0.0))).alias("variation")]
+        spread = [F.percentile(v, list(QUANTILES.values())).alias("q")] if small else []
+        return F.struct(F.lit(c).alias("channel"), *plain, *spread)
+
+    wide = steps.groupBy(*keys).agg(*[statistics(c).alias(f"_s_{c}") for c in channels])
+    long = wide.select(*keys, F.explode(F.array(*[F.col(f"_s_{c}") for c in channels])).alias("_s")).select(*keys, "_s.*")
+    long = long.where(F.col("mean").isNotNull())
+    if small:
+        return long.select(*keys, "channel", *[
+            F.col("q")[list(QUANTILES).index(s)].alias(s) if s in QUANTILES else F.col(s) for s in STATISTICS])
+    cells = rows.unpivot([*keys, *ORDER], channels, "channel", "v")
+    spread = grouped_quantiles(cells, [*keys, "channel"], "v", QUANTILES).drop("n")
+    return long.join(spread, [*keys, "channel"]).select(*keys, "channel", *STATISTICS)
 
 
 def state_fractions(segmented: DataFrame, states: list[str]) -> DataFrame:
@@ -82,16 +100,15 @@ def state_fractions(segmented: DataFrame, states: list[str]) -> DataFrame:
 def action_matrix(segmented: DataFrame, channels: list[str], states: list[str]) -> DataFrame:
     """Wide feature row per action for the learned operators."""
     long = action_features(segmented, channels)
-    stats = ["mean", "std", "min", "max", "rms", "change", "variation", "q10", "q50", "q90"]
     wide = long.groupBy(*STREAM, "segment").agg(*[
-        F.max(F.when(F.col("channel") == c, F.col(s))).alias(f"{c}_{s}") for c in channels for s in stats])
+        F.max(F.when(F.col("channel") == c, F.col(s))).alias(f"{c}_{s}") for c in channels for s in STATISTICS])
     return state_fractions(segmented, states).join(wide, [*STREAM, "segment"], "left")
 
 
 def blocked_folds(actions: DataFrame, folds: int = 5) -> DataFrame:
     """Consecutive near-equal blocks of a stream's actions, in time order, as `fold`."""
     placed = scan(actions.withColumn("ts", F.col("start")).withColumn("ord", F.col("segment")), STREAM, ORDER,
-                  time_chunk("ts", 30 * DAY), position="_pos")
+                  time_chunk("ts", 30 * DAY), position="_pos", bounded=fits_task(actions, STREAM))
     n = actions.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("_n"))
     return placed.join(n, STREAM).withColumn(
         "fold", block_of(F.col("_pos") - 1, F.col("_n"), F.least(F.lit(folds).cast("long"), F.col("_n")))).drop(
@@ -135,7 +152,7 @@ def interval_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
             *STREAM, "label", F.col("id").alias(f"{tag}_id"), micros("start").alias(f"{tag}_a"),
             micros("end").alias(f"{tag}_b"), F.ceil(F.log2(length.cast("double"))).cast("int").alias(f"{tag}_level"))
 
-    t, p = prepared(truth, "t"), prepared(found, "p")
+    t, p = materialize(prepared(truth, "t")), materialize(prepared(found, "p"))
     both = t.select("t_level").union(p.select("p_level")).distinct().agg(F.collect_set("t_level")).first()[0]
     levels = F.array(*[F.lit(v) for v in sorted(both)]) if both else F.array(F.lit(0))
 
@@ -185,6 +202,7 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
 
 def iou_weighted_f1(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Twice the matched IoU over all intervals of both sides; 0 when both are empty."""
+    truth, found = materialize(truth), materialize(found)
     matched = greedy_matches(interval_overlaps(truth, found))
     credit = matched.agg(F.coalesce(F.sum("iou"), F.lit(0.0)).alias("credit"), F.count(F.lit(1)).alias("matches"))
     sizes = truth.agg(F.count(F.lit(1)).alias("truth")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("found"))))

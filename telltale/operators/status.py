@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import linspace_index, micros
-from telltale.functions.ordered import scan, time_chunk
+from telltale.functions.ordered import fits_task, scan, time_chunk
 from telltale.functions.quantiles import select_by_weight
 from telltale.session import materialize
 
@@ -62,7 +62,7 @@ def recent_evidence(scored: DataFrame, recent: int = RECENT) -> DataFrame:
 def intervals(df: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """Gaps between the distinct observation times of each group: keys, us, dt (microseconds)."""
     times = df.select(*keys, "ts").distinct()
-    return scan(times, keys, ["ts"], time_chunk("ts"), lag={"_prev": micros("ts")}).select(
+    return scan(times, keys, ["ts"], time_chunk("ts"), lag={"_prev": micros("ts")}, bounded=fits_task(df, keys)).select(
         *keys, micros("ts").alias("us"), (micros("ts") - F.col("_prev")).alias("dt"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import linspace_index, micros
-from telltale.functions.ordered import DAY, block_of, islands, position_chunk, scan, time_chunk
+from telltale.functions.ordered import DAY, block_of, fits_task, islands, position_chunk, scan, time_chunk
 
 POSITION_CHUNK = 1_000_000
 
@@ -14,7 +14,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
     """0-based position, stream length and running counts of missing readings and gaps."""
     total = {"_missing": (~valid).cast("long") if valid is not None else F.lit(0).cast("long"),
              "_gaps": gap.cast("long") if gap is not None else F.lit(0).cast("long")}
-    rows = scan(df, keys, order, chunk, total=total, position="_row")
+    rows = scan(df, keys, order, chunk, total=total, position="_row", bounded=fits_task(df, keys))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return rows.join(n, keys).withColumn("i", F.col("_row") - 1).drop("_row")
 
@@ -64,7 +64,7 @@ def bucket_sample(df: DataFrame, keys: list[str], order: list[str], chunk: Colum
     """First, last, lowest and highest measured reading of every bucket; all when few enough."""
     rows = numbered(df, keys, order, chunk).drop("n")
     valid = rows.where(F.col(y).isNotNull())
-    placed = scan(valid, keys, ["i"], position_chunk("i", POSITION_CHUNK), position="_vp")
+    placed = scan(valid, keys, ["i"], position_chunk("i", POSITION_CHUNK), position="_vp", bounded=fits_task(df, keys))
     n = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nv"))
     placed = placed.join(n, keys).withColumn("_v", F.col("_vp") - 1)
     count = max(1, (limit - 2) // 4)
@@ -83,13 +83,14 @@ def bucket_sample(df: DataFrame, keys: list[str], order: list[str], chunk: Colum
 
 def measured_runs(df: DataFrame, keys: list[str], order: list[str], chunk: Column, y: str) -> DataFrame:
     """Maximal runs of measured readings with their end points and the bridge to the next run."""
+    small = fits_task(df, keys)
     marked = islands(df, keys, order, chunk, {"ok": F.col(y).isNotNull()},
-                     lambda before, now: before["ok"] != now["ok"], "_island")
+                     lambda before, now: before["ok"] != now["ok"], "_island", small)
     runs = marked.where(F.col(y).isNotNull()).groupBy(*keys, "_island").agg(
         F.count(F.lit(1)).alias("readings"), F.min("ts").alias("start"), F.max("ts").alias("end"),
         F.max_by(y, F.struct(*order)).alias("end_value"), F.min_by(y, F.struct(*order)).alias("start_value"))
     linked = scan(runs, keys, ["_island"], position_chunk("_island", POSITION_CHUNK),
-                  lead={"next_start": F.col("start"), "next_value": F.col("start_value")}, position="run")
+                  lead={"next_start": F.col("start"), "next_value": F.col("start_value")}, position="run", bounded=small)
     return linked.drop("_island")
 
 
@@ -112,7 +113,7 @@ def nearest_reading(lookups: DataFrame, readings: DataFrame, keys: list[str], ch
     here = F.when(F.col("_side") == 0, F.struct(micros("ts").alias("us"), F.col("_r")))
     order = ["ts", "_side", "ord"]
     merged = scan(left.unionByName(right), keys, order, time_chunk("ts", chunk_seconds),
-                  fill={"_back": here}, fill_next={"_ahead": here})
+                  fill={"_back": here}, fill_next={"_ahead": here}, bounded=fits_task(left.unionByName(right), keys))
     us = micros("ts")
     early, late = us - F.col("_back.us"), F.col("_ahead.us") - us
     use_back = F.col("_ahead").isNull() | (F.col("_back").isNotNull() & (early <= late))

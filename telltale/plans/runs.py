@@ -23,19 +23,19 @@ def predictions(spark, sf_dir):
     acts = streams.labelled(spark, sf_dir, 6)
     door = acts.select(
         run_id("door", F.col("stream_id") % 7).alias("run_id"), F.lit("door").alias("subsystem"),
-        F.format_string("door_%d.csv", F.col("stream_id")).alias("file_id"), F.col("segment").alias("row_no"), "start", "end",
+        F.concat(F.lit("door_"), F.col("stream_id").cast("string"), F.lit(".csv")).alias("file_id"), F.col("segment").alias("row_no"), "start", "end",
         F.col("label").alias("prediction"), none("string").alias("ranked_cars"), none("double").alias("damage"))
     e = tables.table(spark, sf_dir, "embeddings")
     kind = F.when(F.col("label") % 3 == 0, "Normal").when(F.col("label") % 3 == 1, "Side I").otherwise("Side II")
     rail = e.select(
         run_id("rail", F.col("vec_id") % 5).alias("run_id"), F.lit("rail").alias("subsystem"),
-        F.format_string("Rail %d.csv", F.col("vec_id")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
+        F.concat(F.lit("Rail "), F.col("vec_id").cast("string"), F.lit(".csv")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
         none("timestamp_ntz").alias("start"), none("timestamp_ntz").alias("end"), kind.alias("prediction"),
         none("string").alias("ranked_cars"), none("double").alias("damage"))
     o = tables.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice") / 1e6, 6).alias("damage"))
     shm = o.select(
         run_id("shm", F.col("o_custkey") % 11).alias("run_id"), F.lit("shm").alias("subsystem"),
-        F.format_string("shm_%d.csv", F.col("o_custkey")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
+        F.concat(F.lit("shm_"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
         none("timestamp_ntz").alias("start"), none("timestamp_ntz").alias("end"), none("string").alias("prediction"),
         none("string").alias("ranked_cars"), F.when(F.col("damage") < 3.5, F.col("damage")).alias("damage"))
     n = tables.table(spark, sf_dir, "supplier")
@@ -43,7 +43,7 @@ def predictions(spark, sf_dir):
         ((i + F.col("s_suppkey").cast("int")) % 8 + 1).cast("string"), 2, "0"))
     acv = n.select(
         run_id("acv", F.col("s_suppkey") % 3).alias("run_id"), F.lit("acv").alias("subsystem"),
-        F.format_string("case_%d.xlsx", F.col("s_suppkey")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
+        F.concat(F.lit("case_"), F.col("s_suppkey").cast("string"), F.lit(".xlsx")).alias("file_id"), F.lit(0).cast("long").alias("row_no"),
         none("timestamp_ntz").alias("start"), none("timestamp_ntz").alias("end"), none("string").alias("prediction"),
         F.array_join(order, "|").alias("ranked_cars"), none("double").alias("damage"))
     return door.unionByName(rail).unionByName(shm).unionByName(acv)
@@ -179,7 +179,7 @@ def stress_evidence(spark, sf_dir):
         F.sqrt(F.avg(F.col("o_totalprice") * F.col("o_totalprice"))).alias("rms"),
         (F.max("o_totalprice") - F.min("o_totalprice")).alias("range"), F.count(F.lit(1)).alias("samples"))
     measured = o.select(run_id("shm", F.col("o_custkey") % 11).alias("run_id"),
-                        F.format_string("shm_%d.csv", F.col("o_custkey")).alias("file_id"), "rms", "range", "samples")
+                        F.concat(F.lit("shm_"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("file_id"), "rms", "range", "samples")
     return reports.evidence_rows(measured, ["run_id", "file_id"])
 
 

@@ -11,7 +11,7 @@ QUERY = "how does the re tion and en la"
 
 def headed(spark, sf_dir):
     """Documents in which lines that begin with some words count as headings."""
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     return docs.select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"),
         F.regexp_replace("text", "(^|\n)(An|En|El|Die|Le)", "$1## $2").alias("text"))
@@ -24,20 +24,20 @@ def text_sections(spark, sf_dir):
 
 
 def lexical_search(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents").select(
+    docs = tables.documents(spark, sf_dir).select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), "text")
     out = tx.search(tx.sections(docs), QUERY, 8)
     return out.select("name", F.col("start_line").cast("bigint").alias("start_line"), F.round("score", 6).alias("score"))
 
 
 def redacted_documents(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     return docs.select("doc_id", tx.redact_text("text").alias("_t"), "text").select(
         "doc_id", F.md5("_t").alias("redacted_md5"), (F.col("_t") != F.col("text")).cast("int").alias("changed"))
 
 
 def unsafe_texts(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    docs = tables.documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     turns = tables.table(spark, sf_dir, "conversations").select(
         F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     asked = F.concat("text", F.when(F.length("text") % 3 == 0, " Do not share the password.").when(
@@ -58,14 +58,14 @@ def cited_answers(spark, sf_dir):
 
 
 def causal_claims(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     claim = F.concat(F.lit("Car 3 is ranked first because "), F.col("text"))
     plain = F.concat(F.lit("The ranking. "), F.col("text"))
     return docs.select("doc_id", tx.causal_claim(F.when(F.col("lang") == "en", claim).otherwise(plain)).cast("int").alias("causal"))
 
 
 def wording_check(spark, sf_dir):
-    lines = tables.table(spark, sf_dir, "documents").select(
+    lines = tables.documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     sentence = F.concat(F.lit("Review the record and "), F.substring("words", 1, 60))
     return lines.select("doc_id", "line", F.coalesce(tx.wording_problem(sentence, "door"), F.lit("accepted")).alias("result"))
@@ -79,7 +79,7 @@ def redacted_records(spark, sf_dir):
 
 
 def bounded_lines(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     b = tx.bounded_list(F.split("text", "\n", -1))
     return docs.select("doc_id", F.size(b["items"]).alias("kept"), b["omitted"].alias("omitted"),
                        F.length(tx.bounded_text("text")).alias("shown"))

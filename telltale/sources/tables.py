@@ -1,6 +1,8 @@
 """The given tables seen as the library's inputs (telemetry, streams, cases, waveforms, series)."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telltale.operators.clean import inject_offsets
@@ -15,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Give the rows of one small local file to all cores before costly work per row.
+
+    A table of many files, as on a cluster, arrives in many tasks already and is left alone.
+    """
+    if os.path.isfile(path):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+
+
 def plain_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as telemetry: 20 trains, the event type as component, two sensors."""
     return table(spark, sf_dir, "events").select(
@@ -57,14 +73,14 @@ def case_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(nat, F.col("s_nationkey") == F.col("n_nationkey")))
     return joined.groupBy(
         F.col("n_regionkey").cast("long").alias("file_id"), F.col("l_shipdate").alias("ts"),
-        F.format_string("%02d", (F.col("s_suppkey") % 8 + 1)).alias("car")).agg(
-        F.avg("l_quantity").alias("cabin"), F.max("l_returnflag").alias("mode")).withColumn(
+        F.lpad((F.col("s_suppkey") % 8 + 1).cast("string"), 2, "0").alias("car")).agg(
+        F.avg("l_quantity").alias("cabin"), F.char(F.max(F.ascii("l_returnflag"))).alias("mode")).withColumn(
         "target", F.lit(25.0))
 
 
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 64-sample channels: eight positions per recording, odd ones on Side I."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"), f"{sf_dir}/embeddings.parquet")
     position = (F.col("vec_id") % 8 + 1).cast("int")
     return e.select(
         F.floor(F.col("vec_id") / 8).cast("long").alias("file_id"), "vec_id",
