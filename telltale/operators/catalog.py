@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telltale.functions.columns import counted, finite, natural_key, range_text
+from telltale.functions.columns import counted, finite, natural_key, number_text, range_text
 from telltale.operators.segments import ABNORMAL, NORMAL
 from telltale.operators.waveform import CLASSES
 
@@ -248,6 +248,59 @@ def run_sentence(aggregates: DataFrame) -> DataFrame:
         s == "shm", shm).otherwise(acv).alias("sentence"))
 
 
+# Warning text that limits how a result may be read, with its short form.
+CAUTIONS = {
+    "door": (("Observed cadence differs substantially from training", "sampling differs from training"),
+             ("Its true action count is unknown", "the true movement count is unknown"),
+             ("inferred segments contain fewer than three readings", "some actions have too few readings")),
+    "shm": (("outside the observed training-target range", "the estimate is outside the training range"),
+            ("outside the validated equal-length setting", "recording length differs from training"),
+            ("No alternating stress cycles were counted", "no alternating stress cycles were found")),
+}
+
+
+def caution(subsystem: str | Column, warnings: str | Column) -> Column:
+    """Short caution from a file's warnings; null when none of them limits the result."""
+    s = F.col(subsystem) if isinstance(subsystem, str) else subsystem
+    text = F.array_join(F.col(warnings) if isinstance(warnings, str) else warnings, " ")
+    flags = F.array_compact(F.array(*[
+        F.when((s == task) & F.contains(text, F.lit(long)), short) for task, pairs in CAUTIONS.items() for long, short in pairs]))
+    return F.when(F.size(flags) > 0, F.concat(
+        F.lit("Check input limits: "), F.array_join(flags, "; "), F.lit(". Review the analysis notes before using this result.")))
+
+
+def file_sentence(files: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """One sentence per file with its counts, first car, class or damage, and a key measurement.
+
+    measured: run_id, file_id, text (from measured_sentence), joined when given.
+    """
+    s = F.col("subsystem")
+    verb = F.when(F.col("total_actions") == 1, "detected door movement was").otherwise("detected door movements were")
+    door = F.concat(F.col("abnormal_actions").cast("string"), F.lit(" of "), F.col("total_actions").cast("string"), F.lit(" "), verb,
+                    F.lit(" flagged for abnormal resistance."))
+    rail = F.when(F.col("predicted_class") == "Normal", "The recording is classified as Normal; no rail corrugation is predicted.").otherwise(
+        F.concat(F.lit("The recording is classified as "), F.col("predicted_class"), F.lit(" rail corrugation.")))
+    shm = F.concat(F.lit("The estimated cumulative fatigue damage is approximately "), number_text("damage"),
+                   F.lit("; it is not a percentage or remaining lifetime."))
+    acv = F.concat(F.lit("Car "), F.col("first_car"), F.lit(" appears first in the recorded ranking; cooling-reading availability is not recorded."))
+    text = F.when(s == "door", door).when(s == "rail", rail).when(s == "shm", shm).otherwise(acv)
+    out = files.withColumn("_s", F.coalesce(text, F.lit("No complete prediction is available for this recording.")))
+    if measured is not None:
+        out = out.join(measured.select("run_id", "file_id", F.col("text").alias("_m")), ["run_id", "file_id"], "left")
+        out = out.withColumn("_s", F.concat_ws(" ", "_s", "_m"))
+    return out.select(*FILE, F.col("_s").alias("sentence"))
+
+
+def measured_sentence(evidence: DataFrame) -> DataFrame:
+    """Stress level and cycle count of a recording as text."""
+    rms = measurement(evidence, "shm-rms", "raw stress units", True).withColumnRenamed("value", "_rms")
+    cycles = measurement(evidence, "shm-cycles", "cycles including half cycles", True).withColumnRenamed("value", "_cycles")
+    both = rms.join(cycles, ["run_id", "file_id"], "full_outer")
+    a = F.concat(F.lit("Stress level (RMS): about "), number_text("_rms"), F.lit(" raw stress units"))
+    b = F.concat(F.lit("rainflow count: about "), number_text("_cycles"), F.lit(" cycles"))
+    return both.select("run_id", "file_id", F.concat(F.array_join(F.array_compact(F.array(a, b)), "; "), F.lit(".")).alias("text"))
+
+
 def default_basket(runs: DataFrame, p: DataFrame) -> DataFrame:
     """Files of the newest completed run of each subsystem: the initial export choice."""
     chosen = latest_completed(runs).select("run_id")

@@ -34,8 +34,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,
     cuts = sorted(set(edges))  # at most `slices` numbers
     chunk = F.lit(0).cast("long")
     if len(cuts) > 1:
-        span = (cuts[-1] - cuts[0]) or 1.0
-        chunk = F.floor((F.col("_s") - F.lit(cuts[0])) / F.lit(span) * slices).cast("long")
+        low, high = cuts[len(cuts) // 100], cuts[-1 - len(cuts) // 100]
+        chunk = F.floor((F.col("_s") - F.lit(low)) / F.lit((high - low) or 1.0) * slices).cast("long")
     placed = scan(values, by, ["_s"], F.greatest(F.lit(-1), F.least(F.lit(slices), chunk)), total={"_below": F.col("_n")})
     # Negatives below plus half of the tied ones, for every positive.
     wins = F.sum(F.col("_p") * (F.col("_below") - F.col("_n") + F.col("_n") / 2))

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telltale.functions.columns import finite, number_text
-from telltale.operators.segments import ABNORMAL
+from telltale.functions.columns import finite, natural_key, number_text
+from telltale.operators.segments import ABNORMAL, NORMAL
 from telltale.operators.text import bounded_text
 
 # Evidence ids with label and unit, by measured column.
@@ -91,6 +91,40 @@ def rail_targets(predictions: DataFrame) -> DataFrame:
         F.when(~F.coalesce(known, F.lit(False)), "unknown").when(flagged, "flagged").otherwise("context").alias("tone"))
 
 
+def car_targets(predictions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Eight car targets per case with rank and tone; a car without evidence is unknown.
+
+    predictions: file_id, ranked_cars; entities: file_id, id, status.
+    """
+    placed = predictions.select("file_id", F.posexplode(F.split("ranked_cars", r"\|")).alias("_p", "id"))
+    known = placed.join(entities.select("file_id", "id", "status"), ["file_id", "id"], "left")
+    available = F.coalesce(F.col("status") == "ranked", F.lit(False))
+    return known.select(
+        "file_id", F.concat(F.lit("car-"), F.col("id")).alias("target"), F.concat(F.lit("Car "), F.col("id")).alias("label"),
+        F.when(available, F.col("_p") + 1).alias("rank"),
+        F.when(~available, "unknown").when(F.col("_p") == 0, "priority").otherwise("ranked").alias("tone"))
+
+
+def action_targets(predictions: DataFrame) -> DataFrame:
+    """A target per door action and the tone its class gives it."""
+    tone = F.when(F.col("prediction") == NORMAL, "normal").when(F.col("prediction") == ABNORMAL, "flagged").otherwise("unknown")
+    n = (F.col("row_no") + 1).cast("string")
+    return predictions.select("file_id", F.concat(F.lit("action-"), n).alias("target"), F.concat(F.lit("Action "), n).alias("label"), tone.alias("tone"))
+
+
+def damage_targets(predictions: DataFrame) -> DataFrame:
+    """The whole recording as the one target of a damage estimate."""
+    known = finite("damage").isNotNull() & (F.col("damage") >= 0)
+    return predictions.select("file_id", F.lit("recording").alias("target"), F.when(known, "estimated").otherwise("unknown").alias("tone"))
+
+
+def attention_target(targets: DataFrame) -> DataFrame:
+    """Default target per file: the first priority or flagged one, else the first."""
+    urgent = F.col("tone").isin("priority", "flagged")
+    return targets.groupBy("file_id").agg(F.min_by("target", F.struct(~urgent, natural_key("target"))).alias("target"),
+                                          F.count_if(urgent).alias("flagged"))
+
+
 def sensor_targets(sides: DataFrame) -> DataFrame:
     """The 64 sensor places (car, position) of a recording, each tied to its side's target."""
     places = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: F.transform(

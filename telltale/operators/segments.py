@@ -116,15 +116,19 @@ def blocked_folds(actions: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def contained_readings(readings: DataFrame, intervals: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
-    """Readings inside [start, end] of an interval of the same stream.
+    """Readings inside [start, end] of an interval of the same stream; intervals do not overlap.
 
-    An interval is offered to every time chunk it covers, so a long stream is joined
-    chunk by chunk.
+    The starts are merged into the stream and carried forward, so a reading meets the one
+    interval that can hold it, however many the stream has.
     """
-    low, high = time_chunk("start", chunk_seconds), time_chunk("end", chunk_seconds)
-    offered = intervals.withColumn("_chunk", F.explode(F.sequence(low, high)))
-    return readings.withColumn("_chunk", time_chunk("ts", chunk_seconds)).join(
-        offered, [*STREAM, "_chunk"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end"))).drop("_chunk")
+    held = F.struct("start", "end")
+    starts = intervals.select(*STREAM, F.col("start").alias("ts"), F.lit(None).cast(
+        readings.schema["ord"].dataType).alias("ord"), F.lit(0).alias("_side"), held.alias("_held"))
+    rows = readings.withColumns({"_side": F.lit(1), "_held": F.lit(None).cast(starts.schema["_held"].dataType)})
+    merged = scan(rows.unionByName(starts, allowMissingColumns=True), STREAM, ["ts", "_side", "ord"],
+                  time_chunk("ts", chunk_seconds), fill={"_in": F.col("_held")}, bounded=fits_task(readings, STREAM))
+    inside = merged.where("_side = 1").where(F.col("ts") <= F.col("_in.end"))
+    return inside.withColumns({"start": F.col("_in.start"), "end": F.col("_in.end")}).drop("_in", "_held", "_side")
 
 
 def check_annotations(readings: DataFrame, labels: DataFrame, chunk_seconds: int = DAY) -> DataFrame:

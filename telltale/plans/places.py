@@ -88,12 +88,12 @@ def footprints(spark, sf_dir):
     """Order lines as polygon vertices: one ring per order and return flag."""
     li = tables.table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_returnflag", F.struct("l_linenumber", "l_partkey").alias("seq"), F.col("l_quantity").alias("x"),
-                     (F.col("l_discount") * 1000).alias("y"))
+                     F.round(F.col("l_discount") * 100).alias("y"))
 
 
 def ring_centroids(spark, sf_dir):
     out = geo.ring_centroids(footprints(spark, sf_dir), ["l_orderkey", "l_returnflag"])
-    return out.select("l_orderkey", "l_returnflag", *[F.round(c, 4).alias(c) for c in ("x", "y", "area")])
+    return out.select("l_orderkey", "l_returnflag", *[F.round(c, 6).alias(c) for c in ("x", "y", "area")])
 
 
 def station_centres(spark, sf_dir):
@@ -122,7 +122,7 @@ po AS (SELECT train_id, any_value(ts) AS ts, min(lat) FILTER (ok) AS lat, min(ln
   FROM (SELECT *, coalesce(lat BETWEEN 1.14 AND 1.50 AND lng BETWEEN 103.53 AND 104.51, false) AS ok FROM la) GROUP BY train_id
   HAVING count(DISTINCT CASE WHEN ok THEN lat || ',' || lng END) = 1)"""
 RING = """
-v AS (SELECT l_orderkey, l_returnflag, (l_linenumber, l_partkey) AS seq, l_quantity AS x, l_discount * 1000 AS y FROM lineitem),
+v AS (SELECT l_orderkey, l_returnflag, (l_linenumber, l_partkey) AS seq, l_quantity AS x, round(l_discount * 100) AS y FROM lineitem),
 o AS (SELECT *, x - first_value(x) OVER w AS a, y - first_value(y) OVER w AS b, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy
   FROM v WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 n AS (SELECT *, coalesce(lead(a) OVER w, 0) AS an, coalesce(lead(b) OVER w, 0) AS bn FROM o WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq)),
@@ -162,6 +162,6 @@ u AS (SELECT *, sum(len) OVER (PARTITION BY line ORDER BY seq ROWS UNBOUNDED PRE
 c AS (SELECT c_custkey AS key, n_regionkey AS line, 0.08::DOUBLE + CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT) / 4294967295 * 0.84 AS f FROM customer JOIN nation ON c_nationkey = n_nationkey),
 h AS (SELECT c.key, c.line, u.*, f * total AS goal, row_number() OVER (PARTITION BY c.key ORDER BY seq) AS rn FROM c JOIN u ON c.line = u.line WHERE upto >= f * total)
 SELECT key, line, round(lat + (1 - (upto - goal) / len) * (lat2 - lat), 6) AS lat, round(lng + (1 - (upto - goal) / len) * (lng2 - lng), 6) AS lng FROM h WHERE rn = 1"""),
-    "ring_centroids": (ring_centroids, f"WITH {RING} SELECT l_orderkey, l_returnflag, round(x, 4) AS x, round(y, 4) AS y, round(area, 4) AS area FROM ring"),
+    "ring_centroids": (ring_centroids, f"WITH {RING} SELECT l_orderkey, l_returnflag, round(x, 6) AS x, round(y, 6) AS y, round(area, 6) AS area FROM ring"),
     "station_centres": (station_centres, f"WITH {RING} SELECT l_orderkey, round(sum(area), 4) AS area FROM ring GROUP BY l_orderkey"),
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telltale.functions.columns import seconds_between
-from telltale.operators import catalog, reports, segments, status
+from telltale.operators import catalog, clean, reports, status
+from telltale.operators import fleet as fleet_ops
 from telltale.operators import orders as work
-from telltale.plans import cases, fleet, streams
+from telltale.plans import fleet, streams
 from telltale.sources import tables
 
 
@@ -222,6 +223,55 @@ def component_explanations(spark, sf_dir):
     return out.select("train_id", "component", "summary", F.size("evidence").alias("lines"))
 
 
+def file_sentences(spark, sf_dir):
+    return catalog.file_sentence(files(spark, sf_dir)).where("subsystem != 'shm'")
+
+
+def file_measurements(spark, sf_dir):
+    """Measured sentence per stress recording, with the number left to the six-digit form."""
+    out = catalog.measured_sentence(stress_evidence(spark, sf_dir))
+    return out.select("file_id", F.regexp_extract("text", r"^(.*about )", 1).alias("lead"),
+                      F.round(F.regexp_extract("text", r"about ([0-9.e+]+)", 1).cast("double"), 4).alias("value"))
+
+
+def cautions(spark, sf_dir):
+    """Short cautions of files that carry one of the limiting warnings."""
+    p = files(spark, sf_dir)
+    texts = F.array(F.when(F.col("prediction_rows") == 1, "No gaps were detected. Its true action count is unknown."),
+                    F.when(F.coalesce("damage", F.lit(9.0)) > 3, "The estimate lies outside the observed training-target range and requires additional validation."))
+    return p.select("file_id", catalog.caution("subsystem", F.array_compact(texts)).alias("caution")).where("caution is not null")
+
+
+def default_basket(spark, sf_dir):
+    """Newest completed run per task among runs dated by their id."""
+    known = known_runs(spark, sf_dir).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    return catalog.default_basket(known, predictions(spark, sf_dir)).groupBy("subsystem", "run_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+def action_targets(spark, sf_dir):
+    t = reports.action_targets(predictions(spark, sf_dir).where("subsystem = 'door'"))
+    return reports.attention_target(t)
+
+
+def car_targets(spark, sf_dir):
+    """Cars of each case; cars whose number equals the last digit of the case have no evidence."""
+    p = predictions(spark, sf_dir).where("subsystem = 'acv'")
+    e = p.select("file_id", F.explode(F.split("ranked_cars", r"\|")).alias("id")).withColumn(
+        "status", F.when(F.contains(F.col("file_id"), F.concat(F.substring("id", 2, 1), F.lit(".xlsx"))), "unavailable").otherwise("ranked"))
+    return reports.car_targets(p, e).select("file_id", "target", "rank", "tone")
+
+
+def healthy_share(spark, sf_dir):
+    return fleet_ops.healthy_share(status.status_trend(fleet.scored_telemetry(spark, sf_dir))).select(
+        F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.round("healthy_pct", 4).alias("healthy_pct"))
+
+
+def searched_trains(spark, sf_dir):
+    """Trains in need of attention whose id holds a text."""
+    trains = fleet_ops.fleet_status(status.component_status(fleet.scored_telemetry(spark, sf_dir)))
+    return clean.search_filter(trains, ["train_id", "status"], "U1", "unknown").select("train_id", "status", "risk")
+
+
 PRED = """
 ev AS (SELECT user_id AS stream_id, ts, event_id AS ord, value AS reading, event_type FROM events),
 dts AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY stream_id ORDER BY ts, ord)) / CAST(1000000 AS DOUBLE) AS dt FROM ev),
@@ -329,4 +379,29 @@ SELECT train_id, component, train_id || ' / ' || component || ': ' || recent_fla
   CASE status WHEN 'healthy' THEN '{work.STATUS_RULES['healthy'][0]}' WHEN 'warning' THEN '{work.STATUS_RULES['warning'][0]}'
   WHEN 'critical' THEN '{work.STATUS_RULES['critical'][0]}' ELSE '{work.STATUS_RULES['unknown'][0]}' END || '.' AS summary,
   CAST(1 + (evidence_ts IS NOT NULL)::INT + (recent_valid < 4)::INT + coalesce(stale, false)::INT AS INT) AS lines FROM comp JOIN f USING (train_id, component)"""),
+    "file_sentences": (file_sentences, f"""WITH {PRED}
+SELECT run_id, subsystem, file_id, CASE subsystem WHEN 'door' THEN abnormal_actions || ' of ' || total_actions ||
+    CASE WHEN total_actions = 1 THEN ' detected door movement was' ELSE ' detected door movements were' END || ' flagged for abnormal resistance.'
+  WHEN 'rail' THEN CASE WHEN predicted_class = 'Normal' THEN 'The recording is classified as Normal; no rail corrugation is predicted.'
+    ELSE 'The recording is classified as ' || predicted_class || ' rail corrugation.' END
+  ELSE 'Car ' || first_car || ' appears first in the recorded ranking; cooling-reading availability is not recorded.' END AS sentence
+FROM fl WHERE subsystem <> 'shm'"""),
+    "file_measurements": (file_measurements, f"""WITH {EVID}, d AS (SELECT file_id, rms, pow(10, floor(log10(rms)) - 5) AS u FROM e)
+SELECT file_id, 'Stress level (RMS): about ' AS lead, round(round(rms / u) * u, 4) AS value FROM d"""),
+    "cautions": (cautions, f"""WITH {PRED}
+SELECT file_id, 'Check input limits: ' || CASE subsystem WHEN 'door' THEN 'the true movement count is unknown' ELSE 'the estimate is outside the training range' END
+  || '. Review the analysis notes before using this result.' AS caution
+FROM fl WHERE (subsystem = 'door' AND prediction_rows = 1) OR (subsystem = 'shm' AND coalesce(damage, 9) > 3)"""),
+    "default_basket": (default_basket, f"""WITH {PRED}, r AS (SELECT subsystem, max(run_id) AS run_id FROM pr WHERE subsystem <> 'acv' GROUP BY subsystem)
+SELECT subsystem, run_id, count(DISTINCT file_id) AS files FROM pr JOIN r USING (subsystem, run_id) GROUP BY ALL"""),
+    "action_targets": (action_targets, f"""WITH {PRED}
+SELECT file_id, 'action-' || (coalesce(min(row_no) FILTER (prediction = 'Abnormal resistance'), 0) + 1) AS target,
+  count(*) FILTER (prediction = 'Abnormal resistance') AS flagged FROM pr WHERE subsystem = 'door' GROUP BY file_id"""),
+    "car_targets": (car_targets, f"""WITH {PRED}, c AS (SELECT file_id, unnest(string_split(ranked_cars, '|')) AS id, generate_subscripts(string_split(ranked_cars, '|'), 1) AS p
+  FROM pr WHERE subsystem = 'acv'), u AS (SELECT *, contains(file_id, substr(id, 2, 1) || '.xlsx') AS gone FROM c)
+SELECT file_id, 'car-' || id AS target, CAST(CASE WHEN NOT gone THEN p END AS INT) AS rank,
+  CASE WHEN gone THEN 'unknown' WHEN p = 1 THEN 'priority' ELSE 'ranked' END AS tone FROM u"""),
+    "healthy_share": (healthy_share, f"""WITH h AS ({fleet.TREND}) SELECT ts, round(100.0 * healthy / (healthy + unknown + warning + critical), 4) AS healthy_pct
+FROM h WHERE unknown < healthy + unknown + warning + critical"""),
+    "searched_trains": (searched_trains, f"{fleet.FULL} SELECT train_id, status, risk FROM train WHERE contains(lower(train_id || ' ' || status), 'u1') AND status = 'unknown'"),
 }
