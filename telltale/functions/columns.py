@@ -16,6 +16,11 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
+def order_key(ts: str | Column, ordinal: str | Column) -> Column:
+    """Time and ordinal as one number. A decimal stays in a hash aggregate, where a struct forces a sort."""
+    return micros(ts).cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + col(ordinal).cast("decimal(19,0)")
+
+
 def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(1e6)
 

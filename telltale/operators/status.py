@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telltale.functions.columns import linspace_index, micros
+from telltale.functions.columns import linspace_index, micros, order_key
 from telltale.functions.ordered import fits_task, scan, time_chunk
 from telltale.functions.quantiles import select_by_weight
 from telltale.session import materialize
@@ -103,14 +103,14 @@ def component_status(scored: DataFrame) -> DataFrame:
     """One row per (train, component): status, risk, health, anomalies, onset, evidence reading."""
     monitored = ~F.col("is_ref")
     flagged = monitored & (F.col("score") > 0)
-    payload = F.struct("ts", "ord", "score", "max_z", "risk")
+    at = F.when(F.col("score").isNotNull(), order_key("ts", "ord"))
     groups = scored.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("observations"),
         F.count_if(flagged).alias("anomaly_count"),
         F.min(F.when(flagged, F.col("ts"))).alias("onset"),
         F.max(F.when(flagged, F.col("ts"))).alias("latest_anomaly"),
         F.max("ts").alias("last_seen"),
-        F.max_by(payload, F.when(F.col("score").isNotNull(), F.struct("ts", "ord"))).alias("last_valid"))
+        *[F.max_by(c, at).alias(f"_v_{c}") for c in ("ts", "ord", "max_z")])
     facts = groups.join(recent_evidence(scored), GROUP, "left").join(
         stale_groups(scored).drop("last_us"), GROUP, "left")
     status, risk = status_ladder(F.col("recent_valid"), F.col("persistence"), F.col("strength"))
@@ -118,7 +118,9 @@ def component_status(scored: DataFrame) -> DataFrame:
     shown = facts.withColumn("status", F.when(blind, "unknown").otherwise(status)).withColumn(
         "risk", F.when(F.col("status") != "unknown", risk))
     actionable = F.col("status").isin("warning", "critical")
-    evidence = F.when(actionable & F.col("peak").isNotNull(), F.col("peak")).otherwise(F.col("last_valid"))
+    last_valid = F.struct(*[F.col(f"_v_{c}").alias(c) for c in ("ts", "ord", "max_z")])
+    peak = F.struct(*[F.col(f"peak.{c}").alias(c) for c in ("ts", "ord", "max_z")])
+    evidence = F.when(actionable & F.col("peak").isNotNull(), peak).otherwise(last_valid)
     return shown.select(
         *GROUP, "status", "risk", (100 - F.col("risk")).alias("health"), "anomaly_count", "observations", "onset",
         "latest_anomaly", "last_seen", F.coalesce("recent_valid", F.lit(0)).alias("recent_valid"),
