@@ -37,7 +37,8 @@ def reference_statistics(rows: DataFrame, sensors: list[str], largest: int | Non
     """
     keys = ["component", "sensor"]
     observed = F.greatest(*[F.col(s).isNotNull() for s in sensors])
-    ref = rows.where("is_ref").where(observed)
+    # Four passes follow; the narrow reference rows are read and parsed once.
+    ref = materialize(rows.where("is_ref").where(observed).select("component", *sensors))
     fit = ref.groupBy("component").agg(F.count(F.lit(1)).alias("fit_rows"))
     cells = long_sensors(ref, ["component"], sensors)
     middle = materialize(grouped_median(cells, keys, "v", largest=largest))
