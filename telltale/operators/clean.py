@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telltale.functions.columns import NUMERIC_TEXT, col, compact, hash_rank, micros, seconds_between, to_numeric
+from telltale.functions.columns import col, hash_rank, micros, to_numeric
 from telltale.functions.quantiles import select_by_weight
 from telltale.session import materialize
 

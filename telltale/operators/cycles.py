@@ -4,7 +4,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telltale.functions.columns import micros
 from telltale.functions.ordered import DAY, fits_task, position_chunk, scan, time_chunk
 from telltale.functions.quantiles import grouped_quantiles, select_by_weight
 from telltale.session import materialize

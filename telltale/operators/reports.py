@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import finite, natural_key, number_text
 from telltale.operators.segments import ABNORMAL, NORMAL
-from telltale.operators.text import bounded_text
 
 # Evidence ids with label and unit, by measured column.
 EVIDENCE = {

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from telltale.functions.columns import hash_rank
 from telltale.functions.ordered import scan
-from telltale.session import materialize
 
 SEED = 42
 

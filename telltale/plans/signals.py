@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.functions.columns import micros
 from telltale.operators import cycles, dedupe, metrics, validate
 from telltale.operators import waveform as wf
 from telltale.sources import tables

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from telltale.operators import (catalog, clean, cycles, dedupe, forest, geo, learn, metrics, orders, peers, reference,
                                 reports, segments, status, text, trace, validate, waveform)
-from telltale.functions.ordered import time_chunk
 
 T0 = dt.datetime(2024, 1, 1)
 

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telltale.operators import catalog
 from telltale.sources import files, sinks
 from telltale.streaming import live
 
