@@ -1,6 +1,8 @@
 """Session defaults and reliable materialisation."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,16 +34,37 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    Only a local session, where driver and executors share one disk, may go without it: it gets a
+    private folder. On a cluster a missing name is an error, since tables written to each executor's
+    own disk could not be read back whole.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
-        return named or current.get()
-    root = named or tempfile.mkdtemp(prefix="telltale-checkpoint-")
+        return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    root = tempfile.mkdtemp(prefix="telltale-checkpoint-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; `release` removes them."""
+    return f"{checkpoint_root(spark).rstrip('/')}/telltale/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once the results built on them are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -51,6 +74,6 @@ def materialize(df: DataFrame) -> DataFrame:
     for a derived input that several later steps would otherwise compute again.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/telltale/{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
