@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import linedup, mixing, rules, simhash
+from telltale.llm import linedup, mixing, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -39,6 +39,13 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=~toxicity.held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,7 @@ SELECT doc_id, size, source_size, target, CAST((whole + CAST(rest > 0 AND before
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_simhash": (op2_simhash, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
 }
