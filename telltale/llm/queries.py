@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import linedup, mixing, rules, simhash, toxicity
+from telltale.llm import linedup, mixing, quality, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -46,6 +46,14 @@ def op4_toxicity(spark, sf_dir):
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    """The source stands for the host, the language for the path within it."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model, F.col("source"), F.col("lang")).select(
+        "doc_id", "own", "path_docs", "host_docs", "score", (F.col("score") >= quality.KEEP).alias("kept"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -74,6 +82,7 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_simhash": (op2_simhash, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
 }
