@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import linedup, mixing, quality, rules, simhash, toxicity
+from telltale.llm import linedup, mixing, pii, quality, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -39,6 +39,11 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op3_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=~toxicity.held_out())
@@ -81,6 +86,7 @@ SELECT doc_id, size, source_size, target, CAST((whole + CAST(rest > 0 AND before
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_simhash": (op2_simhash, None),
+    "op3_personal_data": (op3_personal_data, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_line_dedup": (op7_line_dedup, None),
