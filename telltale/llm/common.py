@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed pattern of the contracts: a word is a run of anything but these six ASCII white-space characters.
 # bytes.split() without arguments cuts at exactly the same characters.
@@ -17,17 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Map Arrow batches of bounded bytes; `fn` gives a dict of output columns for one batch.
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes besides rows, so a run of very long texts does not fill a worker.
 
-    Batches are cut by bytes besides rows, so a run of very long texts does not fill a worker.
     A session that names its own limit keeps it.
     """
-    spark = df.sparkSession
     if spark.conf.get(BATCH_BYTES, None) is None:
         spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+
+
+def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Map Arrow batches of bounded bytes; `fn` gives a dict of output columns for one batch."""
+    spark = df.sparkSession
+    bounded_batches(spark)
     target = spark.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import linedup, mixing, pii, quality, rules, simhash, toxicity
+from telltale.llm import linedup, mixing, pieces, pii, quality, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -59,6 +59,13 @@ def op5_quality_classifier(spark, sf_dir):
         "doc_id", "own", "path_docs", "host_docs", "score", (F.col("score") >= quality.KEEP).alias("kept"))
 
 
+def op6_sentence_pieces(spark, sf_dir):
+    """Pieces of every text, and whether they decode to it."""
+    rows = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op3_personal_data": (op3_personal_data, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op6_sentence_pieces": (op6_sentence_pieces, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
 }
