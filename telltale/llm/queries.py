@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import linedup, mixing, pieces, pii, quality, rules, simhash, toxicity
+from telltale.llm import langid, linedup, mixing, pieces, pii, quality, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -74,6 +74,11 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op10_language_id(spark, sf_dir):
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
 ODD = r"[#*$%&|<>0-9{}\[\]=_~^@\\]"
 OP8_SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(len({WORD_SQL}) AS BIGINT) AS size,
   coalesce(greatest(0.05::DOUBLE, 1 - (length(text) - length(regexp_replace(text, '{ODD}', '', 'g')))::DOUBLE / nullif(length(text), 0)), 1.0::DOUBLE) AS w,
@@ -99,4 +104,5 @@ QUERIES = {
     "op6_sentence_pieces": (op6_sentence_pieces, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
+    "op10_language_id": (op10_language_id, None),
 }
