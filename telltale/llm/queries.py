@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.llm import langid, linedup, mixing, pieces, pii, quality, rules, simhash, toxicity
+from telltale.llm import langid, linedup, mixing, neighbours, pieces, pii, quality, rules, simhash, toxicity
 from telltale.llm.common import table
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -74,6 +74,14 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op9_neighbours(spark, sf_dir):
+    rows = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    index = neighbours.fit(rows, k=20)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return neighbours.search(rows, F.col("vec_id") % 20 == 0, index, k=20)
+
+
 def op10_language_id(spark, sf_dir):
     model = langid.fit(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), model)
@@ -104,5 +112,6 @@ QUERIES = {
     "op6_sentence_pieces": (op6_sentence_pieces, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
+    "op9_neighbours": (op9_neighbours, None),
     "op10_language_id": (op10_language_id, None),
 }
