@@ -55,11 +55,12 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, max_epochs: int
     filled = ranked.select(
         "*", F.sum("source_size").over(whole).alias("_all"), F.sum("_w").over(whole).alias("_weights"),
         F.coalesce(F.sum(cap).over(before), F.lit(0)).alias("_capped"),
-        F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_gone"), cap.cast("double").alias("_cap"))
+        F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_gone"), cap.cast("double").alias("_cap"),
+        F.row_number().over(level).alias("_at"))
     # The level if this source and all after it are open; the first source below its cap fixes it for the rest.
     filled = filled.withColumn("_level", (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_gone")))
     open_level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(
-        (F.col("_cap") / F.col("_w")).alias("at"), F.col("_level").alias("level")))).over(whole)["level"]
+        "_at", F.col("_level").alias("level")))).over(whole)["level"]
     target = F.when(open_level.isNull(), F.col("_cap")).otherwise(F.least(open_level * F.col("_w"), F.col("_cap")))
     return filled.select("source", "source_size", target.alias("target"))
 

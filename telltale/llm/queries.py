@@ -94,9 +94,10 @@ OP8_SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(len({WORD_SQL}) AS BIGINT)
 k AS (SELECT *, -ln(u) / w AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 sw AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sw, 3 * source_size AS cap FROM s),
-lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER z, 0))::DOUBLE / (sum(sw) OVER () - coalesce(sum(sw) OVER z, 0)) AS level FROM sw
+lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER z, 0))::DOUBLE / (sum(sw) OVER () - coalesce(sum(sw) OVER z, 0)) AS level,
+  row_number() OVER (ORDER BY cap / sw, source NULLS LAST) AS pos FROM sw
   WINDOW z AS (ORDER BY cap / sw, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, CAST(least(coalesce((SELECT arg_min(level, cap / sw) FROM lv WHERE level * sw <= cap) * sw, cap), cap) AS DOUBLE) AS target FROM lv),
+t AS (SELECT source, source_size, CAST(least(coalesce((SELECT arg_min(level, pos) FROM lv WHERE level * sw <= cap) * sw, cap), cap) AS DOUBLE) AS target FROM lv),
 p AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole, target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size AS rest FROM t),
 o AS (SELECT k.doc_id, k.size, p.source_size, p.target, p.whole, p.rest, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
