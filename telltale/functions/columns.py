@@ -44,16 +44,18 @@ def compact(text: str | Column) -> Column:
     return F.regexp_replace(F.lower(col(text)), "[^a-z0-9]", "")
 
 
-def natural_key(text: str | Column, width: int = 24) -> Column:
-    """Sort key in which digit runs compare as numbers and letters ignore case."""
+def natural_key(text: str | Column) -> Column:
+    """Sort key in which digit runs, of any length, compare as numbers and letters ignore case.
+
+    A run is led by its number of digits, so a longer number sorts after a shorter one.
+    """
     parts = F.regexp_extract_all(F.lower(col(text)), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(
-        parts,
-        lambda p: F.when(
-            p.rlike("^[0-9]+$"),
-            F.concat(F.lit("\u0001"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), width, "0")),
-        ).otherwise(F.concat(F.lit("\u0000"), p)),
-    )
+
+    def number(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.concat(F.lit("\u0001"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), number(p)).otherwise(F.concat(F.lit("\u0000"), p)))
     return F.array_join(padded, "")
 
 

@@ -13,14 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from telltale.functions.columns import micros
 
 DAY = 86_400
-# Longest stream (rows) that a single window task may order.
-STREAM_LIMIT = 5_000_000
-
-
-def fits_task(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Is even the longest stream short enough for one task? One combined count, one number back."""
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (longest or 0) <= (STREAM_LIMIT if limit is None else limit)
 
 
 def time_chunk(ts: str | Column, seconds: int = DAY) -> Column:
@@ -51,31 +43,18 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
          lag: dict[str, Column] | None = None, lead: dict[str, Column] | None = None,
          total: dict[str, Column] | None = None, peak: dict[str, Column] | None = None,
          fill: dict[str, Column] | None = None, fill_next: dict[str, Column] | None = None,
-         seen: dict[str, Column] | None = None, position: str | None = None, bounded: bool = False) -> DataFrame:
+         seen: dict[str, Column] | None = None, position: str | None = None) -> DataFrame:
     """Add running columns per stream, in the order given (which must be total).
 
     lag / lead: the value on the row before / after; total: inclusive running sum;
     peak: running maximum over the rows before this one; fill / fill_next: last
     non-null value up to and including / first from this row on; seen: last non-null
-    value before this row; position: 1-based. With `bounded` (see fits_task) a plain
-    window does the same without the carry.
+    value before this row; position: 1-based.
     """
     lag, lead, total, peak = lag or {}, lead or {}, total or {}, peak or {}
     fill, fill_next, seen = fill or {}, fill_next or {}, seen or {}
     if position:
         total = {**total, position: F.lit(1).cast("long")}
-    if bounded:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return df.withColumns({
-            **{n: F.lag(c).over(w) for n, c in lag.items()}, **{n: F.lead(c).over(w) for n, c in lead.items()},
-            **{n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in total.items()},
-            **{n: F.max(c).over(before) for n, c in peak.items()},
-            **{n: F.last(c, ignorenulls=True).over(upto) for n, c in fill.items()},
-            **{n: F.last(c, ignorenulls=True).over(before) for n, c in seen.items()},
-            **{n: F.first(c, ignorenulls=True).over(onward) for n, c in fill_next.items()}})
     part = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*part).orderBy(*order)
@@ -140,12 +119,12 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], chunk: Column, facts: dict[str, Column],
-            is_break, name: str = "island", bounded: bool = False) -> DataFrame:
+            is_break, name: str = "island") -> DataFrame:
     """Number the islands of each stream from 0; `is_break(previous, current)` starts a new one.
 
-    Both arguments are structs of the named facts. `bounded` as in scan.
+    Both arguments are structs of the named facts.
     """
-    part = list(keys) if bounded else [*keys, "_chunk"]
+    part = [*keys, "_chunk"]
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cur = F.struct(*[c.alias(n) for n, c in facts.items()])
@@ -153,11 +132,9 @@ def islands(df: DataFrame, keys: list[str], order: list[str], chunk: Column, fac
     def flag(before: Column, now: Column) -> Column:
         return F.when(before.isNotNull(), F.coalesce(is_break(before, now), F.lit(False)).cast("long")).otherwise(F.lit(0))
 
-    rows = (df if bounded else df.withColumn("_chunk", chunk)).withColumn("_cur", cur)
+    rows = df.withColumn("_chunk", chunk).withColumn("_cur", cur)
     inner = rows.withColumn("_in", F.lag("_cur").over(inside))
     inner = inner.withColumn("_break", flag(F.col("_in"), F.col("_cur")))
-    if bounded:
-        return inner.withColumn(name, F.sum("_break").over(upto)).drop("_cur", "_in", "_break")
     across = Window.partitionBy(*keys).orderBy("_chunk")
     summary = inner.groupBy(*part).agg(
         F.min_by("_cur", F.struct(*order)).alias("_first"), F.max_by("_cur", F.struct(*order)).alias("_last"),

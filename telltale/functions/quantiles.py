@@ -1,11 +1,11 @@
 """Exact order statistics of groups of any size.
 
-The built-in exact `percentile` merges every distinct value of a group in one task. While
-the largest group is known to be small, that (or one ordering per group) is used. Beyond
-that the search is narrowed first: a mergeable sketch gives a robust value range, a histogram over that range (at
-most BINS rows per group) finds the bin that holds the wanted rank, and only that bin's
-distinct values are ordered. Everything before the last step is combined map-side, so a
-group with a third of all rows costs no more than its share of the scan.
+The built-in exact `percentile` merges every distinct value of a group in one task. Here the search is
+narrowed first: a mergeable sketch gives a robust value range, a histogram over that range (at most
+BINS rows per group) finds the bin that holds the wanted rank, a second histogram does the same within
+that bin, and only the distinct values of that part are ordered. Everything before the last step is
+combined map-side, so a group with a third of all rows costs no more than its share of the scan, and one
+value range that holds most of a group is cut again. All groups take the same way, whatever their size.
 """
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from telltale.session import materialize
 
 BINS = 4096
-# Largest group (rows) that one task may order; above it the histogram search is used.
-GROUP_LIMIT = 1_000_000
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,12 +28,6 @@ def _base(df: DataFrame, keys: list[str], value: str | Column, weight: str | Col
             .where(F.col("_v").isNotNull() & (F.col("_w") > 0)))
 
 
-def _largest(base: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group: one map-side combined count, one number to the driver."""
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def _group_facts(base: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_w").alias("total"),
@@ -61,80 +53,67 @@ def _window(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
 
 
-def _select_small(base, keys, targets):
-    """One ordering per group: cumulative weight, group totals and the first value at each target."""
-    w = _window(keys, "_v")
-    whole = Window.partitionBy(*keys)
-    ordered = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_c")).select(
-        *keys, "_v", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
-        F.sum("_c").over(whole).alias("n"), F.sum("_w").over(whole).alias("total"))
-    return ordered.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("total").alias("total"),
-        *[F.coalesce(F.min(F.when(F.col("_cum") >= target, F.col("_v"))), F.max("_v")).alias(name)
-          for name, target in targets.items()])
+def _histogram(binned: DataFrame, keys: list[str], name: str, start: str) -> DataFrame:
+    """Weight before and up to each bin; `start` is the weight before the group's first bin."""
+    upto = _window(keys, name)
+    return binned.groupBy(*keys, name).agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                           F.first(start).alias("_start")).select(
+        *keys, name, "_lo", "_hi",
+        (F.col("_start") + F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0))).alias("_upto"),
+        (F.col("_start") + F.coalesce(F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("_before"),
+        F.lead(name).over(upto).isNull().alias("_last"), F.lag(name).over(upto).isNull().alias("_first"))
+
 
+def _bin(low: Column, high: Column) -> Column:
+    return (F.when(F.col("_v") < low, F.lit(-1)).when(F.col("_v") > high, F.lit(BINS)).when(high == low, F.lit(0))
+            .otherwise(F.floor((F.col("_v") - low) / (high - low) * (BINS - 1)))).cast("int")
 
-def _select_large(base, keys, targets):
+
+def _select(base, keys, targets):
     facts = _group_facts(base, keys)
-    low, high = F.col("_span")[0], F.col("_span")[1]
-    bin_ = (F.when(F.col("_v") < low, F.lit(-1)).when(F.col("_v") > high, F.lit(BINS)).when(high == low, F.lit(0))
-            .otherwise(F.floor((F.col("_v") - low) / (high - low) * (BINS - 1)))).cast("int").alias("_bin")
-    binned = _joined(base, facts.select(*keys, "_span"), keys).select(*keys, "_v", "_w", bin_)
-    upto = _window(keys, "_bin")
-    hist = binned.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_w")).select(
-        *keys, "_bin", F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        F.coalesce(F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
-        F.lead("_bin").over(upto).isNull().alias("_last"))
-    hit = (F.col("_before") < F.col("_target")) & ((F.col("_upto") >= F.col("_target")) | F.col("_last"))
-    first = (F.col("_target") <= 0) & (F.col("_before") == 0)
-    chosen = materialize(_joined(hist, _goals(facts, keys, targets), keys).where(hit | first))
-    # Only the bins that hold a target are ordered, by distinct value.
-    bins = chosen.select(*keys, "_bin", "_before").dropDuplicates([*keys, "_bin"])
-    inner = binned.join(bins, [*keys, "_bin"]).groupBy(*keys, "_bin", "_before", "_v").agg(F.sum("_w").alias("_w"))
-    w = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    hit = ((F.col("_before") < F.col("_target")) | F.col("_first")) & ((F.col("_upto") >= F.col("_target")) | F.col("_last"))
+    binned = _joined(base, facts.select(*keys, "_span"), keys).select(
+        *keys, "_v", "_w", _bin(F.col("_span")[0], F.col("_span")[1]).alias("_bin"), F.lit(0.0).alias("_zero"))
+    hist = _histogram(binned, keys, "_bin", "_zero")
+    chosen = materialize(_joined(hist, _goals(facts, keys, targets), keys).where(hit).select(
+        *keys, "_bin", F.col("_lo").alias("_l"), F.col("_hi").alias("_h"), F.col("_before").alias("_b"), "_name", "_target", "n", "total"))
+    # The bins with a target are cut again, between their own smallest and largest values.
+    bins = chosen.select(*keys, "_bin", "_l", "_h", "_b").dropDuplicates([*keys, "_bin"])
+    again = binned.drop("_zero").join(bins, [*keys, "_bin"]).select(
+        *keys, "_bin", "_v", "_w", "_b", _bin(F.col("_l"), F.col("_h")).alias("_sub"))
+    parts = [*keys, "_bin"]
+    fine = materialize(_histogram(again, parts, "_sub", "_b").join(
+        chosen.select(*parts, "_name", "_target", "n", "total"), parts).where(hit).select(
+        *parts, "_sub", "_before", "_name", "_target", "n", "total"))
+    # Only the parts that hold a target are ordered, by distinct value.
+    parts = [*parts, "_sub"]
+    held = fine.select(*parts, "_before").dropDuplicates(parts)
+    inner = again.join(held, parts).groupBy(*parts, "_before", "_v").agg(F.sum("_w").alias("_w"))
+    w = Window.partitionBy(*parts).orderBy("_v")
     ordered = inner.select(
-        *keys, "_bin", "_v",
-        (F.col("_before") + F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
+        *parts, "_v", (F.col("_before") + F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
         F.lead("_v").over(w).isNull().alias("_end"))
-    return _pick(ordered, chosen.select(*keys, "_bin", "n", "total", "_name", "_target"), keys, [*keys, "_bin"], targets)
+    return _pick(ordered, fine.select(*parts, "n", "total", "_name", "_target"), keys, parts, targets)
 
 
 def select_by_weight(df: DataFrame, keys: list[str], value: str | Column, targets: dict[str, Column],
-                     weight: str | Column | None = None, limit: int | None = None,
-                     largest: int | None = None) -> DataFrame:
+                     weight: str | Column | None = None) -> DataFrame:
     """Per group and target: the smallest value whose cumulative weight reaches the target.
 
     A target is an expression over `n` (rows) and `total` (weight) of the group. Rows
     with a null value or a weight that is null or not positive do not count. Returns one
     row per group: keys, n, total and a double column per target.
     """
-    base = _base(df, keys, value, weight)
-    bound = GROUP_LIMIT if limit is None else limit
-    if largest is None or largest > bound:
-        largest = _largest(base, keys)
-    small = largest <= bound
-    return (_select_small if small else _select_large)(base, keys, targets)
-
+    return _select(_base(df, keys, value, weight), keys, targets)
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float],
-                      limit: int | None = None, largest: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles: keys, n and one column per probability.
 
-    `largest` is an upper bound of the rows per group where the caller already counted.
-    """
-    base = _base(df, keys, value, None)
-    bound = GROUP_LIMIT if limit is None else limit
-    if largest is None or largest > bound:
-        largest = _largest(base, keys)
-    if largest <= bound:
-        return base.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("_v", list(probs.values())).alias("_q")).select(
-            *keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles: keys, n and one column per probability."""
     targets = {}
     for name, p in probs.items():
         targets[f"_{name}_lo"] = F.floor((F.col("n") - 1) * F.lit(p)) + 1
         targets[f"_{name}_hi"] = F.ceil((F.col("n") - 1) * F.lit(p)) + 1
-    found = _select_large(base, keys, targets)
+    found = _select(_base(df, keys, value, None), keys, targets)
     columns = []
     for name, p in probs.items():
         part = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
@@ -143,6 +122,5 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs
     return found.select(*keys, "n", *columns)
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str | Column, name: str = "median",
-                   limit: int | None = None, largest: int | None = None) -> DataFrame:
-    return grouped_quantiles(df, keys, value, {name: 0.5}, limit, largest)
+def grouped_median(df: DataFrame, keys: list[str], value: str | Column, name: str = "median") -> DataFrame:
+    return grouped_quantiles(df, keys, value, {name: 0.5})

@@ -232,6 +232,7 @@ def run_range(measured: DataFrame) -> DataFrame:
         "text", range_text("low", "high"))
 
 
+# The texts of the sentences below are fixed values.
 def run_sentence(aggregates: DataFrame) -> DataFrame:
     """One sentence per run with its counts."""
     s, files = F.col("subsystem"), counted("files", "file")

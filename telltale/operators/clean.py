@@ -23,15 +23,17 @@ SENSOR_INFO = {
 # Operating context, used as model input but not as a sensor.
 CONTEXT_COLUMNS = ("speed_kmh", "ambient_temp_c")
 # Names that describe or label a row and therefore never become sensors.
-METADATA_COLUMNS = """
-timestamp time datetime date recorded_at train_id train train_name line component component_id id index row row_id
-scenario source split status health risk anomaly_score label labels target class y fault failure anomaly is_anomaly
-is_fault fault_code fault_type injected_anomaly train_no train_number train_set car car_no car_number bogie
-bogie_number axle axle_number component_no component_number sequence seq sample_number faulty is_faulty ground_truth
-groundtruth lat latitude gps_lat gps_latitude latitude_deg latitude_degrees lon lng long longitude gps_lon gps_lng
-gps_longitude longitude_deg longitude_degrees route route_id route_position station station_id direction heading
-gps_accuracy
-""".split()
+METADATA_COLUMNS = (
+    "timestamp", "time", "datetime", "date", "recorded_at", "train_id", "train", "train_name", "line", "component",
+    "component_id", "id", "index", "row", "row_id", "scenario", "source", "split", "status", "health", "risk",
+    "anomaly_score", "label", "labels", "target", "class", "y", "fault", "failure", "anomaly", "is_anomaly",
+    "is_fault", "fault_code", "fault_type", "injected_anomaly", "train_no", "train_number", "train_set", "car",
+    "car_no", "car_number", "bogie", "bogie_number", "axle", "axle_number", "component_no", "component_number",
+    "sequence", "seq", "sample_number", "faulty", "is_faulty", "ground_truth", "groundtruth", "lat", "latitude",
+    "gps_lat", "gps_latitude", "latitude_deg", "latitude_degrees", "lon", "lng", "long", "longitude", "gps_lon",
+    "gps_lng", "gps_longitude", "longitude_deg", "longitude_degrees", "route", "route_id", "route_position",
+    "station", "station_id", "direction", "heading", "gps_accuracy",
+)
 # Order in which a time column is looked for.
 TIME_COLUMNS = ("timestamp", "datetime", "recorded_at", "time", "date")
 # Outcome words, as prefixes, suffixes or whole words of a name.

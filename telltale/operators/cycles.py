@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telltale.functions.ordered import DAY, fits_task, position_chunk, scan, time_chunk
+from telltale.functions.ordered import DAY, position_chunk, scan, time_chunk
 from telltale.functions.quantiles import grouped_quantiles, select_by_weight
 from telltale.session import materialize
 
@@ -14,14 +14,13 @@ MOMENT_POWERS = (2, 3, 4, 5, 6, 7, 8)
 CHUNK_POINTS = 500_000
 
 
-def turning_points(series: DataFrame, chunk: Column | None = None, bounded: bool | None = None) -> DataFrame:
+def turning_points(series: DataFrame, chunk: Column | None = None) -> DataFrame:
     """First, last and every point where the direction turns; repeats of a value are skipped."""
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
     order = ["ts", "ord"]
-    small = fits_task(series, FILE) if bounded is None else bounded
-    step = scan(series, FILE, order, chunk, lag={"_before": F.col("value")}, bounded=small)
+    step = scan(series, FILE, order, chunk, lag={"_before": F.col("value")})
     changed = step.where(F.col("_before").isNull() | (F.col("_before") != F.col("value"))).drop("_before")
-    ends = scan(changed, FILE, order, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")}, bounded=small)
+    ends = scan(changed, FILE, order, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")})
     turn = (F.col("value") - F.col("_b")) * (F.col("_a") - F.col("value")) < 0
     return ends.where(F.col("_b").isNull() | F.col("_a").isNull() | turn).select(*FILE, "ts", "ord", "value")
 
@@ -103,8 +102,7 @@ def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points
     in order and counted once per file.
     """
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
-    small = fits_task(series, FILE)
-    points = scan(turning_points(series, chunk, small), FILE, ["ts", "ord"], chunk, position="_pos", bounded=small)
+    points = scan(turning_points(series, chunk), FILE, ["ts", "ord"], chunk, position="_pos")
     points = materialize(points.select(
         F.col("file_id").cast("long").alias("file_id"), position_chunk(F.col("_pos") - 1, chunk_points).alias("chunk"),
         F.col("_pos").alias("seq"), "value"))
@@ -112,7 +110,7 @@ def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points
     closed = None
     rest = points
     close_inner, count_rest = F.pandas_udf(_close_inner, PART), F.pandas_udf(_count_rest, CYCLES)
-    while longest > chunk_points:
+    while True:
         part = materialize(_gathered(rest, "file_id", "chunk").select(
             "file_id", "chunk", close_inner("points").alias("_p")).select("file_id", "chunk", "_p.*"))
         done = part.select("file_id", F.explode("closed").alias("_c")).select("file_id", "_c.*")
@@ -125,7 +123,7 @@ def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points
         rest = left.select(
             "file_id", F.floor(F.col("chunk") / 16).cast("long").alias("chunk"),
             (F.col("chunk") % 16 * F.lit(10**9) + F.col("_i")).alias("seq"), "value")
-        if longest >= before:
+        if longest <= chunk_points or longest >= before:
             break
     ordered = rest.withColumn("seq", F.struct("chunk", "seq"))
     counted = _gathered(ordered, "file_id").select("file_id", F.explode(count_rest("points")).alias("_c")).select(
@@ -138,7 +136,7 @@ def series_statistics(series: DataFrame, chunk: Column | None = None) -> DataFra
     """Eleven amplitude features and the total variation of every series."""
     chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
     v = F.col("value")
-    step = scan(series, FILE, ["ts", "ord"], chunk, lag={"_before": v}, bounded=fits_task(series, FILE))
+    step = scan(series, FILE, ["ts", "ord"], chunk, lag={"_before": v})
     basic = step.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("samples"), F.avg(v).alias("mean_stress"), F.avg(F.abs(v)).alias("_am"),
         F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_pop(v).alias("_sd"), (F.max(v) - F.min(v)).alias("range"),

@@ -16,8 +16,6 @@ from telltale.operators.reference import MIN_REFERENCE_ROWS, impute_reference, p
 from telltale.session import materialize
 
 TREES, SAMPLE, CONTAMINATION, SEED = 160, 256, 0.03, 42
-# Largest forest (nodes) kept by every task; beyond it rows meet their component's trees in a cogroup.
-BROADCAST_NODES = 4_000_000
 ROWS_PER_GROUP = 100_000
 TREE_SCHEMA = ("component string, tree int, psi int, feature array<int>, threshold array<double>, "
                "below array<int>, above array<int>, depth array<double>")
@@ -66,13 +64,10 @@ def fit_forest(rows: DataFrame, features: list[str], *, trees: int = TREES, samp
     """One row per (component, tree) from training rows (component, ord, features without nulls)."""
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     known = rows.join(sizes, "component").select("component", "ord", "_n", F.array(*features).alias("x"))
-    # Small components offer every row to every tree; large ones deal each row to one tree.
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    one = F.array(F.pmod(F.xxhash64("ord", F.lit(seed)), F.lit(trees)).cast("int"))
-    dealt = known.withColumn("tree", F.explode(F.when(F.col("_n") <= 4 * trees * sample, every).otherwise(one)))
-    draw = F.pmod(F.xxhash64("ord", "tree", F.lit(seed + 1)), F.lit(2**52)).cast("double") / float(2**52)
-    share = F.when(F.col("_n") <= 4 * trees * sample, F.lit(1.0)).otherwise(F.lit(float(trees)))
-    dealt = dealt.withColumn("_draw", draw).where(F.col("_draw") < share * (2 * sample + 64) / F.col("_n"))
+    # Every tree draws from all rows: a hash of row and tree under a threshold leaves about twice the sample.
+    draw = lambda tree: F.pmod(F.xxhash64("ord", tree, F.lit(seed + 1)), F.lit(2**52)).cast("double") / float(2**52)
+    offered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < (2 * sample + 64) / F.col("_n"))
+    dealt = known.withColumn("tree", F.explode(offered)).withColumn("_draw", draw(F.col("tree")))
     w = Window.partitionBy("component", "tree").orderBy("_draw", "ord")
     picked = dealt.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample)
     # At most trees × sample rows per component: few bytes, but each tree is worth a place of its own.
@@ -108,27 +103,12 @@ def _raw(trees, norm: float, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(trees) / max(norm, 1e-12))
 
 
-def raw_scores(rows: DataFrame, forest: DataFrame, features: list[str], limit: int = BROADCAST_NODES) -> DataFrame:
+def raw_scores(rows: DataFrame, forest: DataFrame, features: list[str]) -> DataFrame:
     """Add `raw` in (0, 1]; null where the component has no forest or an input is missing."""
-    nodes = forest.agg(F.sum(F.size("feature")).alias("n")).first()["n"] or 0
     ready = F.lit(True)
     for f in features:
         ready = ready & F.col(f).isNotNull()
     inputs = F.when(ready, F.array(*features))
-    if nodes <= limit:
-        shared = rows.sparkSession.sparkContext.broadcast(_arrays(forest.toPandas()))
-
-        @F.pandas_udf("double")
-        def score(component: pd.Series, x: pd.Series) -> pd.Series:
-            out = np.full(len(x), np.nan)
-            names, ok = component.to_numpy(), x.notna().to_numpy()
-            for name in pd.unique(component[ok]):
-                if name in shared.value:
-                    at = np.flatnonzero(ok & (names == name))
-                    out[at] = _raw(*shared.value[name], np.stack(x.iloc[at].to_numpy()).astype(float))
-            return pd.Series(out)
-
-        return rows.withColumn("raw", F.nanvl(score("component", inputs), F.lit(None).cast("double")))
     sizes = rows.groupBy("component").agg((F.floor(F.count(F.lit(1)) / ROWS_PER_GROUP) + 1).cast("int").alias("_salts"))
     salted = rows.join(sizes, "component").select(
         "component", "ord", inputs.alias("x"), F.pmod(F.xxhash64("ord"), F.col("_salts")).cast("int").alias("salt"))
@@ -208,11 +188,12 @@ def ordered_features(contribution: DataFrame, deviation: DataFrame) -> DataFrame
 
 
 def side_classes(raw_sides: DataFrame) -> DataFrame:
-    """Normal unless a side's anomaly score is positive; then the side with the larger one.
+    """Normal unless a side's anomaly score is positive; then the side with the larger one. Null if no side has a score.
 
     raw_sides: file_id, component (side_i or side_ii), score.
     """
     side = lambda name: F.max(F.when(F.col("component") == name, F.col("score")))
     both = raw_sides.groupBy("file_id").agg(side("side_i").alias("_a"), side("side_ii").alias("_b"))
     return both.select("file_id", F.when(F.greatest("_a", "_b") <= 0, "Normal").when(
-        F.col("_a") >= F.col("_b"), "Side I").otherwise("Side II").alias("prediction"))
+        F.col("_b").isNull() | (F.col("_a") >= F.col("_b")), F.when(F.col("_a").isNotNull(), "Side I")).otherwise(
+        "Side II").alias("prediction"))

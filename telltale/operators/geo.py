@@ -13,7 +13,6 @@ EXTENT = (1.14, 1.50, 103.53, 104.51)
 METRES_LAT, METRES_LNG = 110_574, 111_280
 STATION_REACH_M = 1500
 # Largest station table (rows) that is sent to every task; beyond it stations are joined by map cell.
-STATION_BROADCAST_ROWS = 20_000
 
 
 def coordinate_columns(columns: list[str]) -> tuple[str, str] | None:
@@ -64,14 +63,12 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: list[str]) -> D
     """Nearest station within reach, on the point's line when that is known.
 
     Candidates come from the map cells within reach of the point, so a point meets only
-    the stations around it. Station tables over the size limit are shuffled by cell.
+    the stations around it; the planner picks how the two meet.
     """
     cell_lat, cell_lng = STATION_REACH_M / METRES_LAT, STATION_REACH_M / METRES_LNG
     placed = stations.select(
         F.col("id").alias("station_id"), F.col("ordinal"), F.col("lat").alias("_slat"), F.col("lng").alias("_slng"), "lines",
         F.floor(F.col("lat") / cell_lat).alias("_a"), F.floor(F.col("lng") / cell_lng).alias("_b"))
-    if stations.limit(STATION_BROADCAST_ROWS + 1).count() <= STATION_BROADCAST_ROWS:
-        placed = F.broadcast(placed)
     around = points.withColumn("_a", F.explode(F.sequence(
         F.floor(F.col("lat") / cell_lat) - 1, F.floor(F.col("lat") / cell_lat) + 1))).withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("lng") / cell_lng) - 1, F.floor(F.col("lng") / cell_lng) + 1)))

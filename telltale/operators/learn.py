@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from telltale.functions.columns import finite
@@ -83,12 +84,25 @@ def fit_pairwise(cars: DataFrame, features: list[str], strength: float = 0.3) ->
 
 
 def fit_ridge(df: DataFrame, features: list[str], target: str, alpha: float = 10.0) -> DataFrame:
-    """Ridge on the log target through MLlib's normal equations (one pass, k × k on the driver)."""
+    """Ridge on the log target: the sums of the normal equations in one aggregate, the k × k system on the driver.
+
+    The penalty is alpha times the sum of squared coefficients of the scaled features; the intercept is free.
+    """
     scaling = fit_scaling(df, features)
-    rows = vectorised(df.withColumn("_y", F.log(target)), features, scaling, ["_y"])
-    fitted = LinearRegression(labelCol="_y", solver="normal", standardization=False, elasticNetParam=0.0,
-                              regParam=alpha / rows.count()).fit(rows)
-    return model_table(df.sparkSession, features, scaling, fitted.coefficients, fitted.intercept)
+    k = len(features)
+    rows = df.select(F.log(target).alias("_y"), *[scaled(f, scaling[f]).alias(f"_x{i}") for i, f in enumerate(features)])
+    rows = rows.where(F.col("_y").isNotNull())
+    means = rows.agg(F.avg("_y").alias("_y"), *[F.avg(f"_x{i}").alias(f"_x{i}") for i in range(k)]).first()
+    if means["_y"] is None:
+        raise ValueError("No row has a positive target.")
+    y = F.col("_y") - means["_y"]
+    x = [F.col(f"_x{i}") - means[f"_x{i}"] for i in range(k)]
+    sums = rows.agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)],
+                    *[F.sum(x[i] * y).alias(f"b{i}") for i in range(k)]).first()
+    gram = np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) + alpha * np.eye(k)
+    weights = np.linalg.solve(gram, np.array([sums[f"b{i}"] for i in range(k)]))
+    intercept = means["_y"] - float(weights @ np.array([means[f"_x{i}"] for i in range(k)]))
+    return model_table(df.sparkSession, features, scaling, weights, intercept)
 
 
 def linear_score(model: DataFrame) -> tuple[list[str], Column]:

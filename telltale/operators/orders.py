@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from telltale.functions.ordered import DAY, fits_task, scan, time_chunk
+from telltale.functions.ordered import DAY, scan, time_chunk
 
 # Title, priority and timeframe by status.
 STATUS_RULES = {
@@ -37,11 +37,13 @@ FAMILY_RULES = (
       "Inspect cooling and electrical connections using the operator's procedure.",
       "Confirm the cause with qualified electrical diagnostics before repair.")),
 )
+# Advice texts, priorities and timeframes.
 OTHER_RULE = (
     "Sustained sensor deviations may reflect equipment degradation, an operating change or a sensor issue.",
     ("Review the cited sensor observations against the reference period.",
      "Arrange an appropriate component and sensor inspection.",
      "Record verified findings before confirming a fault or selecting replacement parts."))
+# Advice texts, priorities and timeframes.
 CALM_RULES = {
     "unknown": ("Insufficient measured evidence to assess component condition.",
                 ("Check sensor connectivity, timestamps and the reference-data coverage before drawing a condition conclusion.",)),
@@ -105,8 +107,7 @@ def order_events(log: DataFrame, chunk_seconds: int = 30 * DAY) -> DataFrame:
     running maximum. An event at that rank changes nothing; one below it is rejected.
     """
     ranked = log.withColumn("_rank", state_rank("status"))
-    seen = scan(ranked, ["order_id"], ["ts", "ord"], time_chunk("ts", chunk_seconds), peak={"_before": F.col("_rank")},
-                bounded=fits_task(log, ["order_id"]))
+    seen = scan(ranked, ["order_id"], ["ts", "ord"], time_chunk("ts", chunk_seconds), peak={"_before": F.col("_rank")})
     before = F.coalesce("_before", F.lit(0))
     outcome = (F.when(F.col("_rank").isNull(), "invalid").when(F.col("_rank") < before, "rejected")
                .when(F.col("_rank") == before, "unchanged").otherwise("applied"))

@@ -12,11 +12,11 @@ MIN_REFERENCE_ROWS = 12
 MAD_TO_SIGMA = 1.4826
 
 
-def reference_cut(df: DataFrame, fraction: float = REFERENCE_FRACTION, largest: int | None = None) -> DataFrame:
+def reference_cut(df: DataFrame, fraction: float = REFERENCE_FRACTION) -> DataFrame:
     """Last reference time per component: a rank among its distinct times, found by selection."""
     times = df.select("component", micros("ts").alias("_us")).distinct()
     rank = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction)))
-    return select_by_weight(times, ["component"], "_us", {"_cut": rank}, largest=largest).select(
+    return select_by_weight(times, ["component"], "_us", {"_cut": rank}).select(
         "component", F.col("_cut").cast("long").alias("cutoff_us"))
 
 
@@ -29,7 +29,7 @@ def long_sensors(df: DataFrame, ids: list[str], sensors: list[str]) -> DataFrame
     return df.select(*ids, *sensors).unpivot(ids, sensors, "sensor", "v").where(F.col("v").isNotNull())
 
 
-def reference_statistics(rows: DataFrame, sensors: list[str], largest: int | None = None) -> DataFrame:
+def reference_statistics(rows: DataFrame, sensors: list[str]) -> DataFrame:
     """Median, spread and usable scale per (component, sensor), from reference rows alone.
 
     The scale is the scaled median absolute deviation, else the population deviation,
@@ -41,9 +41,9 @@ def reference_statistics(rows: DataFrame, sensors: list[str], largest: int | Non
     ref = materialize(rows.where("is_ref").where(observed).select("component", *sensors))
     fit = ref.groupBy("component").agg(F.count(F.lit(1)).alias("fit_rows"))
     cells = long_sensors(ref, ["component"], sensors)
-    middle = materialize(grouped_median(cells, keys, "v", largest=largest))
+    middle = materialize(grouped_median(cells, keys, "v"))
     away = cells.join(middle.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col("v") - F.col("median")))
-    spread = grouped_median(away, keys, "_d", "mad", largest=largest).select(*keys, (F.col("mad") * MAD_TO_SIGMA).alias("mad"))
+    spread = grouped_median(away, keys, "_d", "mad").select(*keys, (F.col("mad") * MAD_TO_SIGMA).alias("mad"))
     std = cells.groupBy(*keys).agg(F.stddev_pop("v").alias("std"))
     floor = F.greatest(F.abs(F.col("median")) * 0.01, F.lit(0.001))
     scale = F.when(F.col("mad") > 1e-10, F.col("mad")).when(F.col("std") > 1e-10, F.col("std")).otherwise(floor)
@@ -96,9 +96,8 @@ def impute_reference(rows: DataFrame, stats: DataFrame, sensors: list[str]) -> D
 
 def fit_robust(df: DataFrame, sensors: list[str]) -> tuple[DataFrame, DataFrame]:
     """Reference flag on every row and the fitted statistics table."""
-    largest = df.groupBy("component").count().agg(F.max("count")).first()[0]
-    rows = with_reference(df, materialize(reference_cut(df, largest=largest)))
-    return rows, reference_statistics(rows, sensors, largest)
+    rows = with_reference(df, materialize(reference_cut(df)))
+    return rows, reference_statistics(rows, sensors)
 
 
 def applicable_sensors(rows: DataFrame, sensors: list[str], known: dict[str, str] | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.functions.columns import micros, seconds_between
-from telltale.functions.ordered import DAY, block_of, fits_task, islands, scan, time_chunk
-from telltale.functions.quantiles import GROUP_LIMIT, grouped_median, grouped_quantiles
+from telltale.functions.ordered import DAY, block_of, islands, scan, time_chunk
+from telltale.functions.quantiles import grouped_median, grouped_quantiles
 from telltale.session import materialize
 
 STREAM = ["stream_id"]
@@ -16,8 +16,7 @@ NORMAL, ABNORMAL = "Normal", "Abnormal resistance"
 
 def stream_intervals(df: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """Seconds since the previous reading of the stream."""
-    return scan(df, STREAM, ORDER, time_chunk("ts", chunk_seconds), lag={"_prev": micros("ts")},
-                bounded=fits_task(df, STREAM)).withColumn(
+    return scan(df, STREAM, ORDER, time_chunk("ts", chunk_seconds), lag={"_prev": micros("ts")}).withColumn(
         "dt", (micros("ts") - F.col("_prev")) / 1e6).drop("_prev")
 
 
@@ -46,7 +45,7 @@ def segment_stream(df: DataFrame, gap: Column | float, keys: list[str] = STREAM,
     gap = F.lit(float(gap)) if isinstance(gap, (int, float)) else gap
     return islands(
         df, keys, order, time_chunk("ts", chunk_seconds), {"us": micros("ts"), "gap": gap},
-        lambda before, now: (now["us"] - before["us"]) / 1e6 > now["gap"], "segment", fits_task(df, keys))
+        lambda before, now: (now["us"] - before["us"]) / 1e6 > now["gap"], "segment")
 
 
 def segment_bounds(segmented: DataFrame) -> DataFrame:
@@ -67,8 +66,7 @@ def action_features(segmented: DataFrame, channels: list[str], chunk_seconds: in
     keys = [*STREAM, "segment"]
     # Cutting a stream costs a shuffle; the steps below read the cut rows instead of repeating it.
     rows = materialize(segmented.select(*keys, *ORDER, *channels))
-    small = fits_task(rows, keys, GROUP_LIMIT)
-    steps = scan(rows, keys, ORDER, time_chunk("ts", chunk_seconds), seen={f"_b_{c}": F.col(c) for c in channels}, bounded=small)
+    steps = scan(rows, keys, ORDER, time_chunk("ts", chunk_seconds), seen={f"_b_{c}": F.col(c) for c in channels})
     order = F.struct(*ORDER)
 
     def statistics(c: str) -> Column:
@@ -77,15 +75,11 @@ def action_features(segmented: DataFrame, channels: list[str], chunk_seconds: in
         plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
                  F.sqrt(F.avg(v * v)).alias("rms"), (F.max_by(v, at) - F.min_by(v, at)).alias("change"),
                  F.when(F.count(v) > 0, F.coalesce(step, F.lit(0.0))).alias("variation")]
-        spread = [F.percentile(v, list(QUANTILES.values())).alias("q")] if small else []
-        return F.struct(F.lit(c).alias("channel"), *plain, *spread)
+        return F.struct(F.lit(c).alias("channel"), *plain)
 
     wide = steps.groupBy(*keys).agg(*[statistics(c).alias(f"_s_{c}") for c in channels])
     long = wide.select(*keys, F.explode(F.array(*[F.col(f"_s_{c}") for c in channels])).alias("_s")).select(*keys, "_s.*")
     long = long.where(F.col("mean").isNotNull())
-    if small:
-        return long.select(*keys, "channel", *[
-            F.col("q")[list(QUANTILES).index(s)].alias(s) if s in QUANTILES else F.col(s) for s in STATISTICS])
     cells = rows.unpivot([*keys, *ORDER], channels, "channel", "v")
     spread = grouped_quantiles(cells, [*keys, "channel"], "v", QUANTILES).drop("n")
     return long.join(spread, [*keys, "channel"]).select(*keys, "channel", *STATISTICS)
@@ -108,7 +102,7 @@ def action_matrix(segmented: DataFrame, channels: list[str], states: list[str])
 def blocked_folds(actions: DataFrame, folds: int = 5) -> DataFrame:
     """Consecutive near-equal blocks of a stream's actions, in time order, as `fold`."""
     placed = scan(actions.withColumn("ts", F.col("start")).withColumn("ord", F.col("segment")), STREAM, ORDER,
-                  time_chunk("ts", 30 * DAY), position="_pos", bounded=fits_task(actions, STREAM))
+                  time_chunk("ts", 30 * DAY), position="_pos")
     n = actions.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("_n"))
     return placed.join(n, STREAM).withColumn(
         "fold", block_of(F.col("_pos") - 1, F.col("_n"), F.least(F.lit(folds).cast("long"), F.col("_n")))).drop(
@@ -126,7 +120,7 @@ def contained_readings(readings: DataFrame, intervals: DataFrame, chunk_seconds:
         readings.schema["ord"].dataType).alias("ord"), F.lit(0).alias("_side"), held.alias("_held"))
     rows = readings.withColumns({"_side": F.lit(1), "_held": F.lit(None).cast(starts.schema["_held"].dataType)})
     merged = scan(rows.unionByName(starts, allowMissingColumns=True), STREAM, ["ts", "_side", "ord"],
-                  time_chunk("ts", chunk_seconds), fill={"_in": F.col("_held")}, bounded=fits_task(readings, STREAM))
+                  time_chunk("ts", chunk_seconds), fill={"_in": F.col("_held")})
     inside = merged.where("_side = 1").where(F.col("ts") <= F.col("_in.end"))
     return inside.withColumns({"start": F.col("_in.start"), "end": F.col("_in.end")}).drop("_in", "_held", "_side")
 

@@ -18,7 +18,7 @@ def forest_scored(spark, sf_dir):
     rows, stats = reference.fit_robust(tables.telemetry(spark, sf_dir), S)
     trees, offset, _ = forest.fit_component_forests(rows, stats, S)
     # Scoring runs in Python: let all cores share a small single-file table.
-    robust = tables.spread(reference.score_robust(rows, stats, S), f"{sf_dir}/events.parquet")
+    robust = tables.spread(reference.score_robust(rows, stats, S))
     return forest.score_forest(robust, stats, S, trees, offset), stats, trees
 
 

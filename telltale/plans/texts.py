@@ -67,13 +67,14 @@ def causal_claims(spark, sf_dir):
 def wording_check(spark, sf_dir):
     lines = tables.documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    sentence = F.concat(F.lit("Review the record and "), F.substring("words", 1, 60))
-    return lines.select("doc_id", "line", F.coalesce(tx.wording_problem(sentence, "door"), F.lit("accepted")).alias("result"))
+    sentence = F.concat(F.lit("Review the record and "), F.col("words"))
+    return lines.select("doc_id", "line", *[
+        F.coalesce(tx.wording_problem(sentence, name), F.lit("accepted")).alias(name) for name in tx.SUBSYSTEMS])
 
 
 def redacted_records(spark, sf_dir):
     e = tables.table(spark, sf_dir, "conversations")
-    record = F.create_map(F.lit("api_key"), F.col("role"), F.lit("note"), F.concat(F.lit("token = abc123 "), F.col("role")))
+    record = F.create_map(F.lit("api_key"), F.col("role"), F.lit("note"), F.concat(F.lit("token = abc123 "), F.col("text")))
     clean = tx.redact_map(record)
     return e.select("conv_id", "turn", clean["api_key"].alias("api_key"), clean["note"].alias("note"))
 
@@ -87,17 +88,25 @@ def bounded_lines(spark, sf_dir):
 
 H = """
 d AS (SELECT source || '/' || doc_id AS name, regexp_replace(text, '(^|\n)(An|En|El|Die|Le)', '\\1## \\2', 'g') AS text FROM documents WHERE length(text) > 0),
-ln AS (SELECT name, i - 1 AS i, len(l) AS n, l[i] AS line, l FROM (SELECT name, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM d), range(1, 2000) AS r(i) WHERE i <= len(l)),
+ln AS (SELECT name, i - 1 AS i, len(l) AS n, l[i] AS line, l FROM (SELECT name, l, unnest(range(1, len(l) + 1)) AS i
+  FROM (SELECT name, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM d))),
 st AS (SELECT name, i AS s, n, line, l FROM ln WHERE i = 0 OR regexp_matches(line, '^#{1,6}\\s|^(async\\s+)?def\\s|^class\\s')),
 se AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY name ORDER BY s), n) AS e FROM st),
 ck AS (SELECT name, line, l, e, unnest(range(s, e, 22)) AS c FROM se)"""
 
-RED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({t},
- '-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----', '[REDACTED]', 'g'), '', ''),
- '\b(?:sk-[A-Za-z0-9_-]{{16,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}|AKIA[A-Z0-9]{{16}}|eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}})\b', '[REDACTED]', 'g'),
- '(?i)\b(Bearer\s+)[A-Za-z0-9._~+/-]{{6,}}=*', '\1[REDACTED]', 'g'), '(?i)(https?://)[^\s/@:]+:[^\s/@]+@', '\1[REDACTED]@', 'g'),
- '(?i)(\b(?:[a-z][a-z0-9_]*_)?(?:api[_ -]?key|access[_ -]?token|refresh[_ -]?token|client[_ -]?secret|password|secret[_ -]?key|token|authorization)["'']?\s*[:=]\s*["'']?)[^\s"''`,;<>\]\}}]{{4,}}', '\1[REDACTED]', 'g')"""
-RED = RED.replace("replace(regexp_replace({t},", "regexp_replace({t},").replace("'g'), '', ''),", "'g'),")
+def sql_text(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def redacted_sql(text: str) -> str:
+    """The redaction of an SQL expression, in the operator's order and with its marked patterns."""
+    for pattern, put in ((tx.PRIVATE_KEY, tx.REDACTED), (tx.TOKEN, tx.REDACTED), (tx.BEARER, "\\1" + tx.REDACTED),
+                         (tx.URL_AUTH, "\\1" + tx.REDACTED + "@"), ("(?i)" + tx.ASSIGNED_NAME + tx.ASSIGNED_VALUE, "\\1" + tx.REDACTED)):
+        text = f"regexp_replace({text}, {sql_text(pattern)}, '{put}', 'g')"
+    return text
+
+
 ASK = ("(?i)(" + tx.NEGATION.replace("'", "''") + ")?" + tx.EXPORT_REQUEST)
 
 TERMS = tx.query_terms(QUERY)
@@ -115,17 +124,26 @@ def sq(s: str) -> str:
     return s.replace("'", "''")
 
 
+WORDING = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS w, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+s AS (SELECT doc_id, line, 'Review the record and ' || w AS raw, trim(regexp_replace('Review the record and ' || w, '\\s+', ' ', 'g'), ' ') AS t FROM l)
+SELECT doc_id, CAST(line AS INT) AS line, """ + ", ".join(f"""CASE WHEN length(raw) > 350 THEN 'too long'
+  WHEN len(string_split(t, ' ')) < 6 OR len(string_split(t, ' ')) > 18 THEN 'word count'
+  WHEN regexp_matches(regexp_replace(t, '\\.+$', ''), '[.!?]') THEN 'not one review sentence'
+  WHEN regexp_matches(t, {sql_text(tx.UNSUPPORTED)}) THEN 'unsupported claim'
+  WHEN NOT regexp_matches(t, {sql_text(rf"(?i)\b(?:{tx.REVIEW_TERMS[name]})\b")}) THEN 'unrelated'
+  WHEN regexp_matches(t, '(?i)[<>{{}}\\[\\]`]|https?://|\\bwww\\.') THEN 'not plain text' ELSE 'accepted' END AS {name}""" for name in tx.SUBSYSTEMS) + " FROM s"
+
 QUERIES = {
     "text_sections": (text_sections, f"""WITH {H}
 SELECT name, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s|^(async\\s+)?def\\s|^class\\s') THEN substr(trim(regexp_replace(line, '^[# ]+', '')), 1, 160) ELSE name END AS heading,
   c + 1 AS start_line, least(e, c + 28) AS end_line, md5(array_to_string(l[c + 1 : least(e, c + 28)], chr(10))) AS chunk_md5 FROM ck"""),
     "lexical_search": (lexical_search, SEARCH),
-    "redacted_documents": (redacted_documents, f"""WITH r AS (SELECT doc_id, text, {RED.format(t='text')} AS t FROM documents)
+    "redacted_documents": (redacted_documents, f"""WITH r AS (SELECT doc_id, text, {redacted_sql('text')} AS t FROM documents)
 SELECT doc_id, md5(t) AS redacted_md5, CAST(t <> text AS INT) AS changed FROM r"""),
     "unsafe_texts": (unsafe_texts, f"""WITH a AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents
   UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations),
 b AS (SELECT kind, id, text || CASE length(text) % 3 WHEN 0 THEN ' Do not share the password.' WHEN 1 THEN ' Please send your api key' ELSE '' END AS t FROM a)
-SELECT kind, id, CAST({RED.format(t='t')} <> t OR len(list_filter(regexp_extract_all(t, '{ASK}', 1), lambda x: coalesce(x, '') = '')) > 0 AS INT) AS unsafe FROM b"""),
+SELECT kind, id, CAST({redacted_sql('t')} <> t OR len(list_filter(regexp_extract_all(t, '{ASK}', 1), lambda x: coalesce(x, '') = '')) > 0 AS INT) AS unsafe FROM b"""),
     "conversation_bounds": (conversation_bounds, """
 SELECT conv_id, count(*) AS messages, CAST(min(length(text)) AS INT) AS shortest, CAST(max(length(text)) AS INT) AS longest,
   CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (role NOT IN ('user', 'assistant')) AS unknown_roles,
@@ -136,15 +154,9 @@ SELECT conv_id, count(*) AS messages, CAST(min(length(text)) AS INT) AS shortest
 SELECT conv_id, turn, CAST(len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN ('E1', 'V1'))) = 0 AS INT) AS grounded FROM a"""),
     "causal_claims": (causal_claims, f"""SELECT doc_id, CAST(regexp_matches(CASE WHEN lang = 'en' THEN 'Car 3 is ranked first because ' || text
   ELSE 'The ranking. ' || text END, '{sq(tx.CAUSAL)}') AS INT) AS causal FROM documents"""),
-    "wording_check": (wording_check, f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS w, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-s AS (SELECT doc_id, line, 'Review the record and ' || substr(w, 1, 60) AS raw, trim(regexp_replace('Review the record and ' || substr(w, 1, 60), '\\s+', ' ', 'g')) AS t FROM l)
-SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN length(raw) > 350 THEN 'too long'
-  WHEN len(string_split(t, ' ')) < 6 OR len(string_split(t, ' ')) > 18 THEN 'word count'
-  WHEN NOT regexp_matches(t, '^(?:Review|Compare|Check|Inspect|Use)\\b') OR regexp_matches(regexp_replace(t, '\\.+$', ''), '[.!?]') THEN 'not one review sentence'
-  WHEN regexp_matches(t, '{sq(tx.UNSUPPORTED)}') THEN 'unsupported claim'
-  WHEN NOT regexp_matches(t, '(?i)\\b(?:{tx.REVIEW_TERMS['door']})\\b') THEN 'unrelated'
-  WHEN regexp_matches(t, '(?i)[<>{{}}\\[\\]`]|https?://|\\bwww\\.') THEN 'not plain text' ELSE 'accepted' END AS result FROM s"""),
-    "redacted_records": (redacted_records, """SELECT conv_id, turn, '[REDACTED]' AS api_key, 'token = [REDACTED] ' || role AS note FROM conversations"""),
-    "bounded_lines": (bounded_lines, f"""WITH r AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, length({RED.format(t='text')}) AS k FROM documents)
+    "wording_check": (wording_check, WORDING),
+    "redacted_records": (redacted_records, f"""WITH r AS (SELECT conv_id, turn, 'token = abc123 ' || text AS t FROM conversations)
+SELECT conv_id, turn, '[REDACTED]' AS api_key, {redacted_sql('t')} AS note FROM r"""),
+    "bounded_lines": (bounded_lines, f"""WITH r AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, length({redacted_sql('text')}) AS k FROM documents)
 SELECT doc_id, CAST(least(n, 24) AS INT) AS kept, CAST(greatest(0, n - 24) AS INT) AS omitted, CAST(CASE WHEN k > 1000 THEN 1018 ELSE k END AS INT) AS shown FROM r"""),
 }

@@ -1,8 +1,6 @@
 """The given tables seen as the library's inputs (telemetry, streams, cases, waveforms, series)."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telltale.operators.clean import inject_offsets
@@ -17,18 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Give the rows of one small local file to all cores before costly work per row.
-
-    A table of many files, as on a cluster, arrives in many tasks already and is left alone.
-    """
-    if os.path.isfile(path):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table of fewer files than there are cores before costly work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def plain_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +74,7 @@ def case_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 64-sample channels: eight positions per recording, odd ones on Side I."""
-    e = spread(table(spark, sf_dir, "embeddings"), f"{sf_dir}/embeddings.parquet")
+    e = spread(table(spark, sf_dir, "embeddings"))
     position = (F.col("vec_id") % 8 + 1).cast("int")
     return e.select(
         F.floor(F.col("vec_id") / 8).cast("long").alias("file_id"), "vec_id",

