@@ -78,7 +78,7 @@ def first_rank_counts(spark, sf_dir):
 
 
 def run_sentences(spark, sf_dir):
-    return catalog.run_sentence(catalog.run_aggregates(files(spark, sf_dir))).where("subsystem != 'shm'")
+    return catalog.run_sentence(catalog.run_aggregates(files(spark, sf_dir)))
 
 
 def prediction_problems(spark, sf_dir):
@@ -224,7 +224,7 @@ def component_explanations(spark, sf_dir):
 
 
 def file_sentences(spark, sf_dir):
-    return catalog.file_sentence(files(spark, sf_dir)).where("subsystem != 'shm'")
+    return catalog.file_sentence(files(spark, sf_dir))
 
 
 def file_measurements(spark, sf_dir):
@@ -320,8 +320,10 @@ f AS (SELECT *, files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END AS t
 SELECT run_id, subsystem, CASE subsystem WHEN 'door' THEN t || ': ' || abnormal_actions || ' of ' || total_actions ||
     CASE WHEN total_actions = 1 THEN ' detected door movement was' ELSE ' detected door movements were' END || ' flagged for abnormal resistance.'
   WHEN 'rail' THEN t || ': ' || class_normal || ' classified Normal, ' || class_side_i || ' Side I corrugation, and ' || class_side_ii || ' Side II corrugation.'
+  WHEN 'shm' THEN t || ': estimated fatigue damage spans approximately ' || CASE WHEN damage_min = damage_max THEN printf('%.6g', damage_min)
+    ELSE printf('%.6g', damage_min) || '–' || printf('%.6g', damage_max) END || '; these are separate recording estimates, not percentages or remaining lifetimes.'
   ELSE t || ': ' || (files - missing_predictions) || CASE WHEN files - missing_predictions = 1 THEN ' cooling ranking.' ELSE ' cooling rankings.' END END AS sentence
-FROM f WHERE subsystem <> 'shm'"""),
+FROM f"""),
     "prediction_problems": (prediction_problems, f"""WITH {PRED},
 v AS (SELECT *, coalesce(CASE subsystem WHEN 'door' THEN prediction IN ('Normal', 'Abnormal resistance') AND fin > start
   WHEN 'acv' THEN len(string_split(ranked_cars, '|')) = 8 AND len(list_distinct(string_split(ranked_cars, '|'))) = 8
@@ -384,8 +386,10 @@ SELECT run_id, subsystem, file_id, CASE subsystem WHEN 'door' THEN abnormal_acti
     CASE WHEN total_actions = 1 THEN ' detected door movement was' ELSE ' detected door movements were' END || ' flagged for abnormal resistance.'
   WHEN 'rail' THEN CASE WHEN predicted_class = 'Normal' THEN 'The recording is classified as Normal; no rail corrugation is predicted.'
     ELSE 'The recording is classified as ' || predicted_class || ' rail corrugation.' END
+  WHEN 'shm' THEN coalesce('The estimated cumulative fatigue damage is approximately ' || printf('%.6g', damage * (1 + 1e-12::DOUBLE))
+    || '; it is not a percentage or remaining lifetime.', 'No complete prediction is available for this recording.')
   ELSE 'Car ' || first_car || ' appears first in the recorded ranking; cooling-reading availability is not recorded.' END AS sentence
-FROM fl WHERE subsystem <> 'shm'"""),
+FROM fl"""),
     "file_measurements": (file_measurements, f"""WITH {EVID}, d AS (SELECT file_id, rms, pow(10, floor(log10(rms)) - 5) AS u FROM e)
 SELECT file_id, 'Stress level (RMS): about ' AS lead, round(round(rms / u) * u, 4) AS value FROM d"""),
     "cautions": (cautions, f"""WITH {PRED}
