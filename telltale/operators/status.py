@@ -175,11 +175,18 @@ def status_trend(scored: DataFrame, count: int = 24, recent: int = RECENT) -> Da
         *GROUP, "at").agg(F.max("us").alias("last_us")).withColumn("age", edge - F.col("last_us"))
     gaps = intervals(rows).where(F.col("dt").isNotNull()).withColumn("slot", F.coalesce(
         *[F.when(F.col("us") <= F.lit(us), F.lit(i)) for i, us in enumerate(edges)]))
-    spread = gaps.withColumn("at", F.explode(F.sequence(F.col("slot"), F.lit(len(edges) - 1))))
-    short = 3 * F.col("dt") < F.col("age")
-    fresh = spread.join(seen, [*GROUP, "at"]).groupBy(*GROUP, "at", "age").agg(
-        F.count(F.lit(1)).alias("gaps"), F.count_if(short).alias("under"),
-        F.max(F.when(short, F.col("dt"))).alias("low"), F.min(F.when(~short, F.col("dt"))).alias("high"))
+    # Counts under a condition for every selected time at once: a gap stays one row.
+    ages = seen.groupBy(*GROUP).agg(F.array(*[F.max(F.when(F.col("at") == i, F.col("age"))) for i in range(len(edges))]).alias("ages"))
+
+    def at_time(i: int) -> Column:
+        upto, age, dt = F.col("slot") <= i, F.get("ages", F.lit(i)), F.col("dt")
+        short = 3 * dt < age
+        return F.struct(
+            F.lit(i).alias("at"), F.max(age).alias("age"), F.count_if(upto).alias("gaps"), F.count_if(upto & short).alias("under"),
+            F.max(F.when(upto & short, dt)).alias("low"), F.min(F.when(upto & ~short, dt)).alias("high"))
+
+    fresh = gaps.join(ages, [*GROUP]).groupBy(*GROUP).agg(F.array(*[at_time(i) for i in range(len(edges))]).alias("_t")).select(
+        *GROUP, F.inline("_t"))
     stale = (F.col("gaps") >= 3) & _median_below(
         F.col("gaps"), F.col("under"), F.col("low"), F.col("high"), F.col("age"))
     groups = scored.select(*GROUP).distinct().crossJoin(F.broadcast(times.withColumnRenamed("slot", "at")))
