@@ -35,7 +35,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, SLOPE = 50.0, 1.5
 MARK = "▁"
 CHUNK = re.compile(rb" *[^ ]+| +")
-GROUP = 800_000  # chunks sampled together
+GROUP, BLOCK = 250_000, 20_000  # chunks sampled together, distinct chunks filtered together
 ONE = 1 << 32
 
 
@@ -136,8 +136,19 @@ def edges(text: np.ndarray, left: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def lattice(chunks: list[bytes], v: Vocabulary) -> Lattice:
-    """Forward filtering of all chunks at once, one place of every chunk after the other."""
+def lattice(chunks: list[bytes], v: Vocabulary, block: int = BLOCK) -> Lattice:
+    """Forward filtering of all chunks, in blocks that bound the memory of the edges at work."""
+    parts, states, count = [], 0, 0
+    for at in range(0, len(chunks), block):
+        part = _filtered(chunks[at:at + block], v)
+        parts.append(Lattice(part.base + states, part.sizes, part.starts[:-1] + count, part.piece.astype(np.int32),
+                             part.back.astype(np.int32), part.upto + states * ONE))
+        states, count = states + len(part.starts) - 1, count + len(part.piece)
+    return Lattice(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("base", "sizes", "starts", "piece", "back", "upto")))
+
+
+def _filtered(chunks: list[bytes], v: Vocabulary) -> Lattice:
+    """One place of every chunk after the other."""
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
     ends = np.cumsum(sizes)
@@ -234,17 +245,22 @@ def encode_batch(rows: list[bytes], keys: np.ndarray, v: Vocabulary, group: int
     return (np.concatenate(pieces) if pieces else np.empty(0, np.int32)), counts
 
 
-def decode(pieces: list[int] | np.ndarray, v: Vocabulary) -> bytes:
+def decode(pieces: list[int], v: Vocabulary) -> bytes:
     names = v.names
     return b"".join([names[i] for i in pieces])
 
 
-def encoded(docs: DataFrame, seed: int = 0, path: str = VOCABULARY) -> DataFrame:
-    """The input with `pieces`, the sampled ids. The row's key is its doc_id; the vocabulary is read once per task."""
+def encoded(docs: DataFrame, seed: int = 0, path: str = VOCABULARY, verify: bool = False) -> DataFrame:
+    """The input with `pieces`, the sampled ids, and if asked with `lossless`, whether they decode to the text.
+
+    The row's key is its doc_id; the vocabulary is read once per task.
+    """
     spark = docs.sparkSession
     keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    target = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    target = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())),
+                            *([T.StructField("lossless", T.BooleanType())] if verify else [])])
     arrow = to_arrow_schema(target)
+    names = docs.columns
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +275,10 @@ def encoded(docs: DataFrame, seed: int = 0, path: str = VOCABULARY) -> DataFrame
             null = np.array(text.is_null())
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate([null, [False]])), pa.array(flat, pa.int32()))
-            columns = [batch.column(f.name) for f in arrow if f.name != "pieces"]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, lists], arrow)], schema=arrow)
+            columns = [batch.column(n) for n in names] + [lists]
+            if verify:
+                columns.append(pa.array([decode(flat[a:b].tolist(), v) == t for a, b, t in zip(offsets[:-1], offsets[1:], rows)]))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return keyed.mapInArrow(run, target)
 
@@ -274,7 +292,10 @@ def decoded(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
         v = None
         for batch in batches:
             v = v or vocabulary(path)
-            back = [None if p is None else decode(p, v).decode() for p in batch.column("pieces").to_pylist()]
+            lists = batch.column("pieces")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            back = [decode(flat[a:b].tolist(), v).decode() if there else None
+                    for a, b, there in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
             columns = [batch.column(f.name) for f in arrow if f.name != "decoded"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.string())], schema=arrow)
 

@@ -61,9 +61,8 @@ def op5_quality_classifier(spark, sf_dir):
 
 def op6_sentence_pieces(spark, sf_dir):
     """Pieces of every text, and whether they decode to it."""
-    rows = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return rows.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    rows = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return rows.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "lossless")
 
 
 def op7_line_dedup(spark, sf_dir):
