@@ -8,9 +8,8 @@ The join: a line of length l is cut into threshold + 1 segments of even length,
 two lines within the threshold, the longer holds some segment of the shorter unchanged, shifted by a bounded
 number of places. So each line is indexed under (l, segment number, segment) and probes, for each
 length l from its own down to that less the threshold, the substrings that the multi-match rule leaves (12 for the
-threshold 2). Index and probes meet by the hash of that key. A candidate's id carries three character
-counts besides the line's hash; they change by one an edit, so most strangers with a common segment
-part within the join. What is left is verified on the whole lines by a banded bit-parallel automaton: one
+threshold 2). Index and probes meet by the hash of that key, and carry the counts of eleven letters.
+An edit moves these by two in sum at most, so most strangers with a common segment part within the join. What is left is verified on the whole lines by a banded bit-parallel automaton: one
 bit mask per error count over the 2 * threshold + 1 diagonals, moved on by one character a step.
 
 Only distinct lines are indexed, so a line that is everywhere costs one entry. Lines are told apart by
@@ -30,7 +29,7 @@ from telltale.session import materialize
 THRESHOLD = 2
 MIN_CHARS = 16
 NEAR_CHARS = 40
-COUNTED = "ea "
+COUNTED = "eantiorsdhl"
 BROADCAST_ROWS = 1_000_000  # 8-byte ids: a side below this is at most some 30 MB
 
 
@@ -75,21 +74,22 @@ def _keys(line: Column, threshold: int) -> dict[str, Column]:
     return out
 
 
-def _line_id(h1: Column, line: Column) -> Column:
-    """40 bits of the line's hash and 8 bits of each of three character counts."""
-    out = h1.bitwiseAND(F.lit(~((1 << 24) - 1)).cast("long"))
+def _letters(line: Column) -> Column:
+    """The counts of eleven letters, modulo 32, in one long; its top bits are 0."""
+    out = F.lit(0).cast("long")
     for j, ch in enumerate(COUNTED):
         count = F.length(line) - F.length(F.replace(line, F.lit(ch), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * j))
+        out = out.bitwiseOR(F.shiftleft((count % 32).cast("long"), 5 * j))
     return out
 
 
-def _counts_near(a: Column, b: Column, threshold: int) -> Column:
-    out = F.lit(True)
+def _letters_near(a: str, b: str, threshold: int) -> Column:
+    """An edit changes at most two counts, by one each."""
+    total = F.lit(0).cast("long")
     for j in range(len(COUNTED)):
-        gap = (F.shiftright(a, 8 * j).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * j).bitwiseAND(F.lit(255)) + 256) % 256
-        out = out & ((gap <= threshold) | (gap >= 256 - threshold))
-    return out
+        gap = (F.shiftright(a, 5 * j).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * j).bitwiseAND(F.lit(31)) + 32) % 32
+        total = total + F.least(gap, 32 - gap)
+    return total <= 2 * threshold
 
 
 def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -134,9 +134,9 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """One row per distinct line: h1, h2, first place, how often, id and probe keys (null if the line is short)."""
+    """One row per distinct line: h1, h2, first place, how often, letter counts and probe keys (null if the line is short)."""
     long_enough = F.char_length("line") >= near_chars
-    keyed = found.select("h1", "h2", "place", _line_id(F.col("h1"), F.col("line")).alias("id"), *[
+    keyed = found.select("h1", "h2", "place", F.when(long_enough, _letters(F.col("line"))).alias("letters"), *[
         F.when(long_enough, k).alias(n) for n, k in _keys(F.col("line"), threshold).items()])
     names = [c for c in keyed.columns if c not in ("h1", "h2", "place")]
     return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"),
@@ -144,26 +144,30 @@ def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_C
 
 
 def candidates(known: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of line ids that share a segment of the shorter line and could be within the threshold, each once."""
+    """Pairs of lines (by h1) that share a segment of the shorter line and could be within the threshold, each once."""
     names = {s: f"k{s[0]}_{s[1]}_{s[2]}" for s in shifts(threshold)}
     near = known.where(F.col(names[(0, 0, 0)]).isNotNull())
-    index = near.select(F.explode(F.array(*[names[(0, i, 0)] for i in range(threshold + 1)])).alias("key"), F.col("id").alias("a"))
-    probes = near.select(F.explode(F.array(*names.values())).alias("key"), F.col("id").alias("b"))
-    pairs = index.join(probes, (index["key"] == probes["key"]) & (F.col("a") != F.col("b"))
-                       & _counts_near(F.col("a"), F.col("b"), threshold))
+    index = near.select(F.explode(F.array(*[names[(0, i, 0)] for i in range(threshold + 1)])).alias("key"), F.col("h1").alias("a"), F.col("letters").alias("la"))
+    # The top bits of a probe say whether it is for its own length: then one of the two directions is enough.
+    own = F.lit(1 << 60).cast("long")
+    probes = near.select(F.inline(F.array(*[
+        F.struct(F.col(n).alias("key"), F.col("h1").alias("b"), (F.col("letters") + own if s[0] == 0 else F.col("letters")).alias("lb"))
+        for s, n in names.items()])))
+    once = F.when(F.col("lb") >= own, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    pairs = index.join(probes, (index["key"] == probes["key"]) & once & _letters_near("la", "lb", threshold))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(found: DataFrame, known: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
     """Verified links both ways: h1, h2 of a line, and the first place of a different line within the threshold."""
     pairs = materialize(candidates(known, threshold))
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    wanted = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)  # a larger one meets the lines by a shuffle
-    named = found.where(F.char_length("line") >= near_chars).withColumn("id", _line_id(F.col("h1"), F.col("line")))
-    whole = materialize(named.join(wanted, "id", "left_semi").groupBy("id", "h1", "h2", "line").agg(F.min("place").alias("first")))
-    left = whole.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "line", "first")])
-    right = whole.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("h1", "h2", "line", "first")])
+    named = found.where(F.char_length("line") >= near_chars)
+    whole = materialize(named.join(wanted, "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.min("place").alias("first")))
+    left = whole.select(F.col("h1").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "line", "first")])
+    right = whole.select(F.col("h1").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("h1", "h2", "line", "first")])
     both = pairs.join(left, "a").join(right, "b").where(within_edits(F.col("a_line"), F.col("b_line"), threshold))
     good = materialize(both.select(*[f"{s}_{c}" for s in "ab" for c in ("h1", "h2", "first")]).distinct())
     return good.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), F.col("b_first").alias("other")).unionAll(
