@@ -65,41 +65,59 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, max_epochs: int
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, key: the narrow rows on which everything else works."""
+def _size_and_key(weight: Column | None, seed: int) -> tuple[Column, Column]:
     draw = unit_draw(F.lit(seed), F.col("doc_id"))
-    return docs.select("doc_id", "source", word_count("text").alias("size"),
-                       (-F.log(draw) / (quality_weight() if weight is None else weight)).alias("key"))
+    return word_count("text"), -F.log(draw) / (quality_weight() if weight is None else weight)
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs (copies in the mix), taken (words)."""
-    rows = materialize(sized(docs, weight, seed))
-    bin_of = F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")
-    binned = rows.withColumn("bin", F.least(bin_of, F.lit(BINS - 1)))
-    bins = materialize(binned.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
+def _bin(key: Column) -> Column:
+    """Bins in key order; the exponential distribution function makes them about even."""
+    return F.least(F.floor((1 - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def plan(rows: DataFrame) -> DataFrame:
+    """One row per source: source_size, target, whole epochs, the rest, and the bin in which it ends with the words before it.
+
+    Input: source, size, bin. A source whose rest is 0 ends before its first bin.
+    """
+    bins = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     budgets = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")))
-    full = F.floor(F.try_divide("target", "source_size"))
-    plan = budgets.select(
-        "source", "source_size", "target", F.coalesce(full, F.lit(0)).cast("int").alias("whole"),
-        (F.col("target") - F.coalesce(full, F.lit(0)) * F.col("source_size")).alias("rest"))
+    full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
+    budgets = budgets.select(F.col("source").alias("_source"), "source_size", "target", full.cast("int").alias("whole"),
+                             (F.col("target") - full * F.col("source_size")).alias("rest"))
     order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ends = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(order), F.lit(0).cast("long"))).alias("b").join(
-        plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    ends = materialize(ends.select(
-        F.col("b.source").alias("source"), "bin", "before", "source_size", "target", "whole", "rest",
-        (F.col("before") + F.col("bin_size") <= F.col("rest")).alias("inside"),
-        ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))).alias("last")))
-    placed = binned.alias("r").join(
-        ends.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.bin") == F.col("e.bin"))).select(
-        "doc_id", "r.source", "size", "key", "r.bin", "before", "source_size", "target", "whole", "rest", "inside", "last")
-    within = Window.partitionBy("source", "bin").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
+    placed = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(order), F.lit(0).cast("long"))).join(
+        budgets, F.col("source").eqNullSafe(F.col("_source")))
+    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))
+    facts = [F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")]
+    return materialize(placed.groupBy("_source").agg(
+        *facts, F.coalesce(F.max(F.when(ends, F.col("bin"))), F.max(F.when(F.col("before") + F.col("bin_size") <= F.col("rest"), F.col("bin") + 1)),
+                           F.lit(0)).alias("edge"), F.coalesce(F.max(F.when(ends, F.col("before"))), F.max("rest")).alias("before")))
+
+
+def _on_the_edge(rows: DataFrame) -> DataFrame:
+    """The rows of the bins in which a budget ends, with `inside`: more than half of the document fits."""
+    within = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    edge = placed.where("last").withColumn(
-        "_sum", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # A document on the edge goes in if more than half of it fits.
-    edge = edge.withColumn("inside", F.col("_sum") + F.col("size") / 2 <= F.col("rest")).drop("_sum")
-    out = placed.where(~F.col("last")).unionByName(edge)
+    upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    return rows.where(F.col("bin") == F.col("edge")).withColumn(
+        "inside", (F.col("rest") > 0) & (upto + F.col("size") / 2 <= F.col("rest")))
+
+
+def _placed(docs: DataFrame, weight: Column | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows with their source's plan, and the plan."""
+    size, key = _size_and_key(weight, seed)
+    rows = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
+    rows = rows.withColumn("bin", _bin(F.col("key")))
+    budgets = plan(rows)
+    return rows.join(budgets, F.col("source").eqNullSafe(F.col("_source"))), budgets
+
+
+def mix(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs (copies in the mix), taken (words)."""
+    placed, _ = _placed(docs, weight, seed)
+    clear = placed.where(F.col("bin") != F.col("edge")).withColumn("inside", F.col("bin") < F.col("edge"))
+    out = clear.unionByName(_on_the_edge(placed))
     copies = F.col("whole") + F.col("inside").cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("epochs"),
                       (copies * F.col("size")).cast("long").alias("taken"))
@@ -108,9 +126,19 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFra
 def epochs(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the columns are those of the input.
 
-    Copies are told by id and size: rows that share both share the largest number of copies among them.
+    Most documents lie in a bin that is in or out as a whole, so their copies follow from the plan, one row per source,
+    and no text is shuffled. Only those in the bins where a budget ends are joined with their own verdicts, told by id and
+    size: rows that share both take the largest number of copies among them.
     """
-    chosen = mix(docs, weight, seed).groupBy("doc_id", "size").agg(F.max("epochs").alias("_copies"))
-    chosen = materialize(chosen.where("_copies > 0").withColumnsRenamed({"doc_id": "_id", "size": "_size"}))
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count("text") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    placed, budgets = _placed(docs, weight, seed)
+    edge = materialize(_on_the_edge(placed).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
+        F.max(F.col("whole") + F.col("inside").cast("int")).alias("_copies")))
+    size, key = _size_and_key(weight, seed)
+    kept = budgets.select("_source", F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
+    rows = docs.withColumn("_bin", _bin(key)).join(kept, F.col("source").eqNullSafe(F.col("_source")))
+    clear = rows.where(F.col("_bin") != F.col("_edge")).withColumn(
+        "_copies", F.col("_whole") + (F.col("_bin") < F.col("_edge")).cast("int"))
+    last = rows.where(F.col("_bin") == F.col("_edge")).withColumn("_words", size).join(
+        edge, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    both = clear.select(*docs.columns, "_copies").unionByName(last.select(*docs.columns, "_copies"))
+    return both.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
