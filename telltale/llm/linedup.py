@@ -28,7 +28,7 @@ from telltale.session import materialize
 
 THRESHOLD = 2
 MIN_CHARS = 16
-NEAR_CHARS = 40
+NEAR_CHARS = MIN_CHARS  # every line that an exact copy can remove takes part in the edit join
 COUNTED = "eantiorsdhl"
 BROADCAST_ROWS = 1_000_000  # 8-byte ids: a side below this is at most some 30 MB
 

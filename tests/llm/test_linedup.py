@@ -70,6 +70,17 @@ def test_removals_equal_brute_force(spark):
         assert {(r.doc_id, r.pos) for r in got if r.near} == near and exact
 
 
+def test_short_lines_by_default_equal_brute_force(spark):
+    draw = random.Random(5)
+    base = ["".join(draw.choice("abcdé fghi") for _ in range(draw.randrange(16, 40))) for _ in range(15)]
+    rows = [(i, "\n".join(changed(draw, draw.choice(base), draw.choice([0, 1, 2, 3])) for _ in range(3))) for i in range(40)]
+    rows.append((99, "2024-03-01 Log entry\n2024-03-02 Log entry"))
+    got = linedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    exact, near = slow_removals(rows, 2, 16, 16)
+    assert {(r.doc_id, r.pos) for r in got if r.exact} == exact
+    assert {(r.doc_id, r.pos) for r in got if r.near} == near and (99, 1) in near
+
+
 def test_links_are_counted_both_ways(spark):
     df = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz 0123456789 abcdefghij"), (2, "abcdefghijklmnopqrstuvwxyz 0123456789 abcdefghiJ"),
                                 (3, "abcdefghijklmnopqrstuvwxyz 0123456789 abcdefgXiJ")], "doc_id long, text string")
