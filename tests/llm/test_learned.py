@@ -1,6 +1,7 @@
 """Learned operators: gradients, held-out accuracy, brute-force priors, exact round trips and recall."""
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -214,6 +215,23 @@ def test_draws_do_not_depend_on_the_batch(vocab):
     assert whole == pieces.encode_batch(rows, keys, vocab, group=7)[0].tolist()
 
 
+def test_long_texts_and_copies_are_cut_in_groups(spark, vocab, monkeypatch):
+    draw = random.Random(3)
+    rows = ["".join(draw.choice(["the ", "x", "  ", "é", "\n"]) for _ in range(draw.randrange(300))).encode() for _ in range(40)]
+    keys = np.arange(40).astype(np.uint64)
+    whole, counts = pieces.encode_batch(rows, keys, vocab)
+    for group in (1, 50, 1000):
+        parts = list(pieces._parts(rows, group))
+        assert b"".join(p for _, _, p in parts) == b"".join(rows) and all(rows[r][at:at + len(p)] == p for r, at, p in parts)
+        some, n = pieces.encode_batch(rows, keys, vocab, group)
+        assert some.tolist() == whole.tolist() and n.tolist() == counts.tolist()
+    long = [(1, "some text of words " * 200_000, "k"), (1, "some text of words " * 200_000, "k"), (2, None, "k"), (2, None, "k"), (2, "", "k"), (3, "some text", "k")]
+    df = spark.createDataFrame(long, "doc_id long, text string, _key string").withColumn("lossless", F.lit("old"))
+    got = pieces.encoded(df, verify=True).collect()
+    assert [(r.doc_id, r.text, r._key) for r in got] == long and all(r.lossless for r in got)
+    assert got[0].pieces == got[1].pieces and [r.pieces for r in got[2:5]] == [None, None, []]
+
+
 def test_sampled_shares_equal_all_segmentations(vocab):
     ids = {n: i for i, n in enumerate(vocab.names) if n and i >= 259}
 
@@ -312,6 +330,35 @@ def test_fusion_equals_a_plain_computation(spark, real_docs):
         assert abs(got[r.page_id].probability - 1 / np.exp(z - z.max()).sum()) < 1e-9 and k == 4
 
 
+def test_hostile_pages_take_linear_time(spark, real_docs):
+    model = langid.fit(real_docs)
+    for unit in ("<", "<html ", "<script ", "<!-- ", "</script  ", "lang ", "<html lang  ", "<p>le la "):
+        start = time.perf_counter()
+        page = unit * (5_000_000 // len(unit))
+        langid.declared(page)
+        langid.text_logs(langid.visible(page), model)
+        assert time.perf_counter() - start < 8, unit
+    assert langid.declared("<p lang=de><HTML data-x lang = 'FR'>") == "fr" and langid.declared("<html><html lang=de>") == ""
+    assert langid.visible("a<script >x<y</script ><!-- <p> --><b>c</b>") == "a   c "
+
+
+def test_slices_count_every_gram(monkeypatch):
+    text = "Der Hund, und  die Katze -- ça va"
+    want = langid.counted(text)
+    assert want.sum() == sum(len(" ".join("der hund und die katze ça va".split())) - n for n in range(3))
+    for size in (1, 2, 5):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert (langid.counted(text) == want).all()
+
+
+def test_repeated_pages_and_clashing_names(spark, real_docs):
+    page = ("http://a.org/fr/", "<html lang=fr>le chat et la souris</html>")
+    df = spark.createDataFrame([(1, *page)] * 3 + [(None, None, None)], "page_id long, url string, html string").selectExpr(
+        "*", *[f"'x' AS {c}" for c in ("declared", "host", "domain", "suffix", "logs", "soft", "lang", "_z", "_k_host")])
+    rows = langid.identify(df, langid.fit(real_docs)).collect()
+    assert len(rows) == 4 and len({(r.lang, r.probability) for r in rows if r.page_id == 1}) == 1
+
+
 def test_empty_pages(spark, no_docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert langid.identify(pages, langid.fit(no_docs)).count() == 0
@@ -326,4 +373,4 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
 
 
 def test_queries_are_registered():
-    assert [n for n in QUERIES] and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11))
+    assert [n for n in QUERIES] and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14))
