@@ -5,16 +5,16 @@ filled by a weighted sample without replacement: document i draws the exponentia
 -ln(u_i) / weight_i, and the documents with the smallest keys whose sizes fit the rest are taken.
 
 The prefix sum within a source is never one window over the source, which may hold a third of all
-rows. Keys are put into `BINS` bins in key order; bins are summed (with map-side combine), the
+rows. Keys are put into bins in key order, `BINS` to each doubling of the key; bins are summed (with map-side combine), the
 prefix over bins finds the one bin per source in which the budget ends, and only that bin's rows
-are ordered. A bin holds about one in `BINS` documents of a source.
+are ordered. Of documents of one weight, whatever it is, a bin holds at most one in e * `BINS`: a weight only scales the keys.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last. A source
 without words has target 0. Documents of size 0 take no words. Repeated rows count each for itself;
 among rows with equal keys the order is by id, then size, and rows that agree in all of these are alike.
 Equal input gives equal output: draws depend on the id and the seed alone. An empty table gives an
-empty mix. Input columns whose names clash with those the operator adds (`size`, `taken`, ...) are
-left alone by `epochs`, which adds only the copies, and are not read by `mix`.
+empty mix. Very long texts are counted whole. Input columns of any name pass through `epochs`, which carries the input row as one value,
+and are not read by `mix`.
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ from telltale.session import materialize
 
 CYCLE = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-BINS = 4096
+BINS = 2048
 
 
 def quality_weight(text: str = "text") -> Column:
@@ -71,8 +71,8 @@ def _size_and_key(weight: Column | None, seed: int) -> tuple[Column, Column]:
 
 
 def _bin(key: Column) -> Column:
-    """Bins in key order; the exponential distribution function makes them about even."""
-    return F.least(F.floor((1 - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
+    """Bins in key order, even in the logarithm; keys lie between 1e-15 and 1e4, so there are some 60 * `BINS`."""
+    return F.floor(F.log2(key) * BINS).cast("int")
 
 
 def plan(rows: DataFrame) -> DataFrame:
@@ -88,11 +88,12 @@ def plan(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(order), F.lit(0).cast("long"))).join(
         budgets, F.col("source").eqNullSafe(F.col("_source")))
-    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))
+    ends = (F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))
     facts = [F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")]
+    past = F.max(F.when(F.col("rest") > 0, F.col("bin") + 1))  # the rest takes every bin, or, if it is 0, none
     return materialize(placed.groupBy("_source").agg(
-        *facts, F.coalesce(F.max(F.when(ends, F.col("bin"))), F.max(F.when(F.col("before") + F.col("bin_size") <= F.col("rest"), F.col("bin") + 1)),
-                           F.lit(0)).alias("edge"), F.coalesce(F.max(F.when(ends, F.col("before"))), F.max("rest")).alias("before")))
+        *facts, F.coalesce(F.max(F.when(ends, F.col("bin"))), past, F.min("bin")).alias("edge"),
+        F.coalesce(F.max(F.when(ends, F.col("before"))), F.lit(0)).alias("before")))
 
 
 def _on_the_edge(rows: DataFrame) -> DataFrame:
@@ -127,18 +128,24 @@ def epochs(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> Data
     """The documents themselves, each as often as the mix takes it; the columns are those of the input.
 
     Most documents lie in a bin that is in or out as a whole, so their copies follow from the plan, one row per source,
-    and no text is shuffled. Only those in the bins where a budget ends are joined with their own verdicts, told by id and
-    size: rows that share both take the largest number of copies among them.
+    and no text is shuffled. Only those in the bins where a budget ends are joined with their own verdicts. Rows that agree in
+    source, id, size and key share a verdict; where the budget ends among them, as many of them as the mix takes once more do so.
     """
     placed, budgets = _placed(docs, weight, seed)
-    edge = materialize(_on_the_edge(placed).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
-        F.max(F.col("whole") + F.col("inside").cast("int")).alias("_copies")))
+    alike = ["source", "doc_id", "size", "key"]
+    edge = materialize(_on_the_edge(placed).groupBy(*alike).agg(
+        F.min("whole").alias("whole"), F.sum(F.col("inside").cast("long")).alias("more"), F.count(F.lit(1)).alias("n")))
     size, key = _size_and_key(weight, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "doc_id", size.alias("size"), key.alias("key"))
     kept = budgets.select("_source", F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
-    rows = docs.withColumn("_bin", _bin(key)).join(kept, F.col("source").eqNullSafe(F.col("_source")))
-    clear = rows.where(F.col("_bin") != F.col("_edge")).withColumn(
-        "_copies", F.col("_whole") + (F.col("_bin") < F.col("_edge")).cast("int"))
-    last = rows.where(F.col("_bin") == F.col("_edge")).withColumn("_words", size).join(
-        edge, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    both = clear.select(*docs.columns, "_copies").unionByName(last.select(*docs.columns, "_copies"))
-    return both.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = rows.withColumn("bin", _bin(F.col("key"))).join(kept, F.col("source").eqNullSafe(F.col("_source")))
+    clear = rows.where(F.col("bin") != F.col("_edge")).select("row", (F.col("_whole") + (F.col("bin") < F.col("_edge")).cast("int")).alias("copies"))
+    named = edge.withColumnsRenamed({c: f"edge_{c}" for c in alike})
+    same = [F.col(c).eqNullSafe(F.col(f"edge_{c}")) for c in alike]
+    last = rows.where(F.col("bin") == F.col("_edge")).join(named, same[0] & same[1] & same[2] & same[3])
+    split = (F.col("more") > 0) & (F.col("more") < F.col("n"))  # at most one set of equal rows in each source
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("row")))
+    ended = last.where(split).withColumn("place", place).select("row", (F.col("whole") + (F.col("place") <= F.col("more")).cast("int")).alias("copies"))
+    even = last.where(~split).select("row", (F.col("whole") + (F.col("more") > 0).cast("int")).alias("copies"))
+    both = clear.unionAll(even).unionAll(ended).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -67,6 +67,41 @@ def test_heavier_documents_are_taken_more_often(spark):
     assert by[0] > by[1]
 
 
+def test_bins_are_even_for_every_weight(spark):
+    for w in (0.05, 0.2, 1.0, 7.0):
+        rows = spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text")).select(
+            mixing._bin(mixing._size_and_key(F.lit(w), 0)[1]).alias("bin"))
+        assert max(r["count"] for r in rows.groupBy("bin").count().collect()) < 60
+
+
+def test_light_weights_equal_one_ordering(spark):
+    """Texts of digits (weight 0.05), with sizes from 0 to 6, against the order of all keys."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('123 ', CAST(id % 7 AS INT))").alias("text"),
+                                  F.when(F.col("id") % 3 == 0, "s").otherwise("t").alias("source"))
+    size, key = mixing._size_and_key(None, 0)
+    keys = {r.doc_id: (r.key, r.size) for r in df.select("doc_id", key.alias("key"), size.alias("size")).collect()}
+    rows = mixing.mix(df).collect()
+    for source in "st":
+        own = sorted((r for r in rows if r.source == source), key=lambda r: (keys[r.doc_id][0], r.doc_id))
+        whole = int(own[0].target // own[0].source_size)
+        rest, before = own[0].target - whole * own[0].source_size, 0
+        for r in own:
+            assert r.epochs == whole + (rest > 0 and before + r.size / 2 <= rest)
+            before += r.size
+
+
+def test_repeated_and_null_ids_take_their_share(spark):
+    clash = "_source _bin _copies _copy _words _id _size _edge _whole key bin row copies whole more n place edge".split()
+    df = spark.range(3000).select(F.when(F.col("id") < 800, F.col("id") % 40).alias("doc_id"), F.lit("one two three four").alias("text"),
+                                  F.concat(F.lit("s"), F.col("id") % 2).alias("source"), *[F.lit(c).alias(c) for c in clash])
+    rows = mixing.mix(df)
+    target = {r.source: (r.target, r.taken) for r in rows.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    out = mixing.epochs(df)
+    assert out.columns == df.columns and out.where("_bin <> '_bin' OR row <> 'row'").isEmpty()
+    for r in out.groupBy("source").agg((F.count(F.lit(1)) * 4).alias("taken")).collect():
+        assert r.taken == target[r.source][1] and abs(r.taken - target[r.source][0]) <= 4
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
     out = mixing.epochs(odd_docs)
