@@ -14,7 +14,7 @@ language, and the host counts, are sums over all pages of what the text alone sa
 combine. A host's counts leave out the page itself.
 
 Defined results: a page without text, declaration or host (nulls, empty) is judged by what is left, at least by the shares of
-all pages; a null address has no host and no suffix. Repeated rows count each for itself. Without texts of known language,
+all pages; a null address has no host and no suffix. Very long pages are read whole, in linear time. Repeated rows count each for itself. Without texts of known language,
 or without pages, the result is empty. Ties go to the language that comes first in code point order. Other columns are not read.
 """
 from __future__ import annotations
@@ -35,9 +35,12 @@ BITS = 16
 SLOTS = 1 << BITS
 WORTH = 60.0
 HOST_STRENGTH, DOMAIN_STRENGTH, SMOOTH = 8.0, 20.0, 0.5
-SCRIPT = re.compile(r"<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+# A tag ends at the next angle bracket, and no quantifier gives back what it took: every pattern runs once through the page.
+SCRIPT = re.compile(r"<(script|style|noscript)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+TAG = re.compile(r"<[^<>]*+>")
+ROOT = re.compile(r"<html\b([^<>]*+)", re.I)
+DECLARED = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})", re.I)
+SLICE = 1 << 18  # code points counted at once
 
 
 @dataclass
@@ -51,21 +54,30 @@ def visible(page: str) -> str:
     return entities.unescape(TAG.sub(" ", SCRIPT.sub(" ", page)))
 
 
-def slots(text: str) -> np.ndarray:
-    """Slots of all 1- to 3-grams of the lower-cased letters; all else is one space."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+def declared(page: str) -> str:
+    """The language that the first html tag declares, or nothing."""
+    root = ROOT.search(page)
+    found = DECLARED.search(root[1]) if root else None
+    return found[1].lower() if found else ""
+
+
+def counted(text: str) -> np.ndarray:
+    """How often each slot has a 1- to 3-gram of the lower-cased letters; all else is one space."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = ((codes >= 97) & (codes <= 122)) | (codes >= 0xAA)
-    codes = np.where(letter, codes, 32).astype(np.uint32)
-    if len(codes):
-        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+    out = np.zeros(SLOTS, np.int64)
     if not letter.any():
-        return np.empty(0, np.uint32)
-    out, run = [], np.zeros(len(codes), np.uint32)
-    for n in (1, 2, 3):
-        run = run[:len(codes) - n + 1] * np.uint32(2654435761) + codes[n - 1:]
-        mixed = (run ^ (run >> np.uint32(15))) * np.uint32(2246822519 + 2 * n)
-        out.append(mixed >> np.uint32(32 - BITS))
-    return np.concatenate(out)
+        return out
+    codes = np.where(letter, codes, 32).astype(np.uint32)
+    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+    for at in range(0, len(codes), SLICE):  # the n-grams that begin in this slice
+        part = codes[at:at + SLICE + 2]
+        own, run = min(SLICE, len(part)), np.zeros(len(part), np.uint32)
+        for n in (1, 2, 3):
+            run = run[:len(part) - n + 1] * np.uint32(2654435761) + part[n - 1:]
+            mixed = (run ^ (run >> np.uint32(15))) * np.uint32(2246822519 + 2 * n)
+            out += np.bincount((mixed >> np.uint32(32 - BITS))[:own], minlength=SLOTS)
+    return out
 
 
 def fit(texts: DataFrame, language: str = "lang", bound: int = SAMPLE) -> Model | None:
@@ -84,7 +96,7 @@ def fit(texts: DataFrame, language: str = "lang", bound: int = SAMPLE) -> Model
     def run(batch: pa.RecordBatch) -> dict:
         out = np.zeros((SLOTS, len(languages)), np.int32)
         for text, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            out[:, number[name]] += np.bincount(slots(text), minlength=SLOTS).astype(np.int32)
+            out[:, number[name]] += counted(text).astype(np.int32)
         used = np.flatnonzero(out.any(axis=1)).astype(np.int32)
         return {"slots": [used.tobytes()], "counts": [out[used].tobytes()]}
 
@@ -98,10 +110,11 @@ def fit(texts: DataFrame, language: str = "lang", bound: int = SAMPLE) -> Model
 
 def text_logs(text: str, model: Model) -> np.ndarray:
     """Tempered log likelihood of each language, the largest of them 0."""
-    found = slots(text)
-    if not len(found):
+    counts = counted(text)
+    used = np.flatnonzero(counts)
+    if not len(used):
         return np.zeros(len(model.languages))
-    z = model.logs[found].sum(axis=0) * min(1.0, WORTH / len(found))
+    z = counts[used] @ model.logs[used] * min(1.0, WORTH / int(counts.sum()))
     return z - z.max()
 
 
@@ -127,7 +140,7 @@ def evidence(pages: DataFrame, model: Model) -> DataFrame:
         logs = [text_logs(visible(p), model) for p in rows]
         soft = [np.exp(z + model.shares) for z in logs]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"),
-                "declared": [m[1].lower() if (m := DECLARED.search(p)) else "" for p in rows],
+                "declared": [declared(p) for p in rows],
                 "logs": pa.array([z.tolist() for z in logs], pa.list_(pa.float64())),
                 "soft": pa.array([(s / s.sum()).tolist() for s in soft], pa.list_(pa.float64()))}
 
