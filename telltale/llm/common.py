@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # bytes.split() without arguments cuts at exactly the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_LIMIT = "16m"
+BATCH_LIMIT = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

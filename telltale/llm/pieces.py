@@ -8,23 +8,28 @@ exact probability. The draws are counter-based hashes of the row's key, the plac
 any cluster, in any batch, at any retry.
 
 No piece has a space after another character, so the lattice falls apart before each run of spaces: chunks are
-independent. Distinct chunks of a batch are filtered once, all together by place; all chunks of a batch are sampled
-together, one piece each per step.
+independent. Texts are worked on in groups of about `GROUP_BYTES` bytes, longer ones in parts that end with a chunk: distinct chunks of
+a group are filtered once, all together by place; all its chunks are sampled together, one piece each per step. So a worker
+holds one group's lattice, whatever the batch or the text.
 
 Spaces stand as the vocabulary's space mark; a mark in the text itself is written in bytes. No space is put in front.
 So decoding, which joins the pieces' bytes, gives back every text byte by byte.
 
-Defined results: a null text has null pieces and stays null; an empty one has none. Repeated rows (same key) are cut alike. An
-empty table gives an empty result. Input columns pass through `encoded`; `pieces` must not be among them.
+Defined results: a null text has null pieces and stays null; an empty one has none. Repeated rows (same key) are cut alike, and
+copies that follow each other are encoded once. Very long texts are cut whole. An empty table gives an empty result. Input columns pass
+through `encoded`, but `pieces` and `lossless`, which it writes anew.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,7 +40,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, SLOPE = 50.0, 1.5
 MARK = "▁"
 CHUNK = re.compile(rb" *[^ ]+| +")
-GROUP, BLOCK = 250_000, 20_000  # chunks sampled together, distinct chunks filtered together
+CUT = re.compile(rb"(?<=[^ ]) ")  # a chunk begins here
+GROUP_BYTES, BLOCK = 1_000_000, 20_000  # text sampled together, distinct chunks filtered together
 ONE = 1 << 32
 
 
@@ -51,7 +57,9 @@ class Vocabulary:
     piece: np.ndarray        # id of the piece that ends at each node, or -1
 
 
+@lru_cache(maxsize=2)
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
+    """Read once per worker."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names, byte_ids = [], np.zeros(256, np.int32)
     first = None
@@ -221,27 +229,45 @@ def sample(lat: Lattice, which: np.ndarray, key: np.ndarray, offset: np.ndarray)
     return pieces[order].astype(np.int32), np.bincount(by, minlength=n)
 
 
-def encode_batch(rows: list[bytes], keys: np.ndarray, v: Vocabulary, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' pieces one after the other, and how many each row has; rows are worked on in groups of bounded size."""
+def _parts(rows: list[bytes], group: int) -> Iterator[tuple[int, int, bytes]]:
+    """Row, place and bytes of every text, longer ones in parts of about `group` bytes that end with a chunk."""
+    for row, text in enumerate(rows):
+        at = 0
+        while len(text) - at > group and (cut := CUT.search(text, at + group)):
+            yield row, at, text[at:cut.start()]
+            at = cut.start()
+        yield row, at, text[at:]
+
+
+def encode_batch(rows: list[bytes], keys: np.ndarray, v: Vocabulary, group: int = GROUP_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' pieces one after the other, and how many each row has; the text is worked on in groups of bounded size."""
     pieces, counts = [], np.zeros(len(rows), np.int64)
-    at = 0
-    while at < len(rows):
+    held: list[tuple[int, int, bytes]] = []
+
+    def sampled() -> None:
         number: dict[bytes, int] = {}
         which, owner, offset = [], [], []
-        start = at
-        while at < len(rows) and (at == start or len(which) < group):
-            parts = CHUNK.findall(rows[at])
+        for row, at, text in held:
+            parts = CHUNK.findall(text)
             which += [number.setdefault(p, len(number)) for p in parts]
-            if parts:
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                offset.append(np.cumsum(sizes) - sizes)
-                owner.append(np.full(len(parts), at))
-            at += 1
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            offset.append(at + np.cumsum(sizes) - sizes)
+            owner.append(np.full(len(parts), row, np.int32))
         if which:
             row = np.concatenate(owner)
             got, n = sample(lattice(list(number), v), np.fromiter(which, np.int64, len(which)), keys[row], np.concatenate(offset))
             pieces.append(got)
-            counts += np.bincount(row, n, minlength=len(rows)).astype(np.int64)
+            counts[:] += np.bincount(row, n, minlength=len(rows)).astype(np.int64)
+        held.clear()
+
+    size = 0
+    for part in _parts(rows, group):
+        if size + len(part[2]) > group and held:
+            sampled()
+            size = 0
+        held.append(part)
+        size += len(part[2])
+    sampled()
     return (np.concatenate(pieces) if pieces else np.empty(0, np.int32)), counts
 
 
@@ -253,34 +279,49 @@ def decode(pieces: list[int], v: Vocabulary) -> bytes:
 def encoded(docs: DataFrame, seed: int = 0, path: str = VOCABULARY, verify: bool = False) -> DataFrame:
     """The input with `pieces`, the sampled ids, and if asked with `lossless`, whether they decode to the text.
 
-    The row's key is its doc_id; the vocabulary is read once per task.
+    The row's key is its doc_id. Each group of rows is one batch of the result.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    target = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())),
-                            *([T.StructField("lossless", T.BooleanType())] if verify else [])])
+    added = {"pieces", "lossless"} if verify else {"pieces"}
+    fields = [f for f in docs.schema.fields if f.name not in added]
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    target = T.StructType([*fields, T.StructField("pieces", T.ArrayType(T.IntegerType())),
+                           *([T.StructField("lossless", T.BooleanType())] if verify else [])])
     arrow = to_arrow_schema(target)
-    names = docs.columns
     bounded_batches(spark)
 
+    def group(rows: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+        columns = dict(zip([f.name for f in fields], rows.columns[1:]))
+        text = columns["text"]
+        every = [t or b"" for t in text.cast(pa.binary()).to_pylist()]
+        keys = np.array(rows.column(0)).astype(np.int64).view(np.uint64)
+        new = np.array([i == 0 or keys[i] != keys[i - 1] or every[i] != every[i - 1] for i in range(len(every))])
+        flat, sizes = encode_batch([t for t, first in zip(every, new) if first], keys[new], v)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        own = np.cumsum(new) - 1  # the encoded text of each row
+        counts = sizes[own]
+        if not new.all():
+            flat = np.concatenate([flat[ends[i]:ends[i + 1]] for i in own])
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        null = np.array(text.is_null())
+        out = [pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate([null, [False]])), pa.array(flat, pa.int32()))]
+        if verify:
+            out.append(pa.array([decode(flat[a:b].tolist(), v) == t for a, b, t in zip(offsets[:-1], offsets[1:], every)]))
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns.values(), *out], arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = v or vocabulary(path)
-            text = batch.column("text")
-            rows = [t or b"" for t in text.cast(pa.binary()).to_pylist()]
-            flat, counts = encode_batch(rows, np.array(batch.column("_key")).astype(np.int64).view(np.uint64), v)
-            null = np.array(text.is_null())
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate([null, [False]])), pa.array(flat, pa.int32()))
-            columns = [batch.column(n) for n in names] + [lists]
-            if verify:
-                columns.append(pa.array([decode(flat[a:b].tolist(), v) == t for a, b, t in zip(offsets[:-1], offsets[1:], rows)]))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(1 + [f.name for f in fields].index("text"))), 0))
+            bin_of = (np.cumsum(sizes) - sizes) // GROUP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(bin_of)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield group(batch.slice(a, b - a), vocabulary(path))
 
-    return keyed.mapInArrow(run, target)
+    taken = {f.name.lower() for f in fields}
+    free = next(name for i in count() if (name := f"key{i}") not in taken)
+    return docs.select(key.alias(free), *[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, target)
 
 
 def decoded(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -289,9 +330,8 @@ def decoded(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = None
+        v = vocabulary(path)
         for batch in batches:
-            v = v or vocabulary(path)
             lists = batch.column("pieces")
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             back = [decode(flat[a:b].tolist(), v).decode() if there else None
