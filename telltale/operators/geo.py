@@ -129,7 +129,8 @@ def ring_centroids(vertices: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def largest_part(centroids: DataFrame, keys: list[str]) -> DataFrame:
-    return centroids.groupBy(*keys).agg(F.max_by(F.struct("x", "y", "area"), F.struct("area", "x")).alias("_p")).select(
+    """The part with the largest area; ties go to the larger x, then y."""
+    return centroids.groupBy(*keys).agg(F.max_by(F.struct("x", "y", "area"), F.struct("area", "x", "y")).alias("_p")).select(
         *keys, "_p.*")
 
 

@@ -85,9 +85,10 @@ def path_positions(spark, sf_dir):
 
 
 def footprints(spark, sf_dir):
-    """Order lines as polygon vertices: one ring per order and return flag."""
+    """Order lines as polygon vertices: one ring per order and return flag. Lines that tie in the order are the same vertex."""
     li = tables.table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_returnflag", F.struct("l_linenumber", "l_partkey").alias("seq"), F.col("l_quantity").alias("x"),
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    return li.select("l_orderkey", "l_returnflag", order.alias("seq"), F.col("l_quantity").alias("x"),
                      F.round(F.col("l_discount") * 100).alias("y"))
 
 
@@ -98,7 +99,14 @@ def ring_centroids(spark, sf_dir):
 
 def station_centres(spark, sf_dir):
     out = geo.weighted_centre(geo.ring_centroids(footprints(spark, sf_dir), ["l_orderkey", "l_returnflag"]), ["l_orderkey"])
-    return out.select("l_orderkey", F.round("area", 4).alias("area"))
+    return out.select("l_orderkey", *[F.round(c, 4).alias(c) for c in ("x", "y", "area")])
+
+
+def largest_footprints(spark, sf_dir):
+    """Of each order's rings the one with the largest area."""
+    rings = geo.ring_centroids(footprints(spark, sf_dir), ["l_orderkey", "l_returnflag"])
+    rings = rings.withColumns({c: F.round(c, 6) for c in ("x", "y", "area")})
+    return geo.largest_part(rings, ["l_orderkey"])
 
 
 def case_sql(column: str, rules: dict[str, str]) -> str:
@@ -122,7 +130,7 @@ po AS (SELECT train_id, any_value(ts) AS ts, min(lat) FILTER (ok) AS lat, min(ln
   FROM (SELECT *, coalesce(lat BETWEEN 1.14 AND 1.50 AND lng BETWEEN 103.53 AND 104.51, false) AS ok FROM la) GROUP BY train_id
   HAVING count(DISTINCT CASE WHEN ok THEN lat || ',' || lng END) = 1)"""
 RING = """
-v AS (SELECT l_orderkey, l_returnflag, (l_linenumber, l_partkey) AS seq, l_quantity AS x, round(l_discount * 100) AS y FROM lineitem),
+v AS (SELECT l_orderkey, l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS seq, l_quantity AS x, round(l_discount * 100) AS y FROM lineitem),
 o AS (SELECT *, x - first_value(x) OVER w AS a, y - first_value(y) OVER w AS b, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy
   FROM v WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 n AS (SELECT *, coalesce(lead(a) OVER w, 0) AS an, coalesce(lead(b) OVER w, 0) AS bn FROM o WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY seq)),
@@ -163,5 +171,8 @@ c AS (SELECT c_custkey AS key, n_regionkey AS line, 0.08::DOUBLE + CAST('0x' ||
 h AS (SELECT c.key, c.line, u.*, f * total AS goal, row_number() OVER (PARTITION BY c.key ORDER BY seq) AS rn FROM c JOIN u ON c.line = u.line WHERE upto >= f * total)
 SELECT key, line, round(lat + (1 - (upto - goal) / len) * (lat2 - lat), 6) AS lat, round(lng + (1 - (upto - goal) / len) * (lng2 - lng), 6) AS lng FROM h WHERE rn = 1"""),
     "ring_centroids": (ring_centroids, f"WITH {RING} SELECT l_orderkey, l_returnflag, round(x, 6) AS x, round(y, 6) AS y, round(area, 6) AS area FROM ring"),
-    "station_centres": (station_centres, f"WITH {RING} SELECT l_orderkey, round(sum(area), 4) AS area FROM ring GROUP BY l_orderkey"),
+    "station_centres": (station_centres, f"""WITH {RING} SELECT l_orderkey, round(CASE WHEN sum(area) > 0 THEN sum(x * area) / sum(area) ELSE avg(x) END, 4) AS x,
+  round(CASE WHEN sum(area) > 0 THEN sum(y * area) / sum(area) ELSE avg(y) END, 4) AS y, round(sum(area), 4) AS area FROM ring GROUP BY l_orderkey"""),
+    "largest_footprints": (largest_footprints, f"""WITH {RING}, q AS (SELECT l_orderkey, round(x, 6) AS x, round(y, 6) AS y, round(area, 6) AS area FROM ring)
+SELECT l_orderkey, x, y, area FROM q QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, x DESC, y DESC) = 1"""),
 }
