@@ -1,11 +1,10 @@
 """Exact order statistics of groups of any size.
 
-The built-in exact `percentile` merges every distinct value of a group in one task. Here the search is
-narrowed first: a mergeable sketch gives a robust value range, a histogram over that range (at most
-BINS rows per group) finds the bin that holds the wanted rank, a second histogram does the same within
-that bin, and only the distinct values of that part are ordered. Everything before the last step is
-combined map-side, so a group with a third of all rows costs no more than its share of the scan, and one
-value range that holds most of a group is cut again. All groups take the same way, whatever their size.
+The built-in exact `percentile` merges every distinct value of a group in one task. Here the distinct values of each group are counted
+once, with map-side combine, and written as one narrow table. A value's bin follows from its sign and logarithm alone, so one grouped
+sum over that table tells in which bin of a group a wanted rank lies, and only the values of that bin are ordered. A bin that
+holds more than `ROWS` distinct values is cut between its own extremes first, as often as that takes. All groups take the same
+way, and a group with a third of all rows costs no more than its share of the scan.
 """
 from __future__ import annotations
 
@@ -13,12 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.session import materialize
 
-BINS = 4096
-
-
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Group facts onto rows; without keys the right side is a single group's few rows."""
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+BINS = 4096       # parts of a bin that is cut again
+OCTAVE = 32       # bins to each doubling of a value
+LOWEST = 1100     # no double has a smaller logarithm than the negative of this
+ROWS = 100_000    # distinct values that one task orders
 
 
 def _base(df: DataFrame, keys: list[str], value: str | Column, weight: str | Column | None) -> DataFrame:
@@ -28,72 +25,63 @@ def _base(df: DataFrame, keys: list[str], value: str | Column, weight: str | Col
             .where(F.col("_v").isNotNull() & (F.col("_w") > 0)))
 
 
-def _group_facts(base: DataFrame, keys: list[str]) -> DataFrame:
-    return materialize(base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("total"),
-        F.percentile_approx("_v", [0.001, 0.999], 1000).alias("_span")))
-
-
-def _goals(facts: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), target.cast("double").alias("target"))
-                       for name, target in targets.items()])
-    return facts.select(*keys, "n", "total", F.explode(wanted).alias("_t")).select(
-        *keys, "n", "total", F.col("_t.name").alias("_name"), F.col("_t.target").alias("_target"))
-
-
-def _pick(ordered: DataFrame, goals: DataFrame, keys: list[str], join_keys: list[str],
-          targets: dict[str, Column]) -> DataFrame:
-    reached = (F.col("_cum") >= F.col("_target")) | F.col("_end")
-    return _joined(ordered, goals, join_keys).where(reached).groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("total").alias("total"),
-        *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in targets])
-
-
-def _window(keys: list[str], *order: str):
-    return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-
-
-def _histogram(binned: DataFrame, keys: list[str], name: str, start: str) -> DataFrame:
-    """Weight before and up to each bin; `start` is the weight before the group's first bin."""
-    upto = _window(keys, name)
-    return binned.groupBy(*keys, name).agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                           F.first(start).alias("_start")).select(
-        *keys, name, "_lo", "_hi",
-        (F.col("_start") + F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0))).alias("_upto"),
-        (F.col("_start") + F.coalesce(F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("_before"),
-        F.lead(name).over(upto).isNull().alias("_last"), F.lag(name).over(upto).isNull().alias("_first"))
-
-
-def _bin(low: Column, high: Column) -> Column:
-    return (F.when(F.col("_v") < low, F.lit(-1)).when(F.col("_v") > high, F.lit(BINS)).when(high == low, F.lit(0))
-            .otherwise(F.floor((F.col("_v") - low) / (high - low) * (BINS - 1)))).cast("int")
-
-
-def _select(base, keys, targets):
-    facts = _group_facts(base, keys)
-    hit = ((F.col("_before") < F.col("_target")) | F.col("_first")) & ((F.col("_upto") >= F.col("_target")) | F.col("_last"))
-    binned = _joined(base, facts.select(*keys, "_span"), keys).select(
-        *keys, "_v", "_w", _bin(F.col("_span")[0], F.col("_span")[1]).alias("_bin"), F.lit(0.0).alias("_zero"))
-    hist = _histogram(binned, keys, "_bin", "_zero")
-    chosen = materialize(_joined(hist, _goals(facts, keys, targets), keys).where(hit).select(
-        *keys, "_bin", F.col("_lo").alias("_l"), F.col("_hi").alias("_h"), F.col("_before").alias("_b"), "_name", "_target", "n", "total"))
-    # The bins with a target are cut again, between their own smallest and largest values.
-    bins = chosen.select(*keys, "_bin", "_l", "_h", "_b").dropDuplicates([*keys, "_bin"])
-    again = binned.drop("_zero").join(bins, [*keys, "_bin"]).select(
-        *keys, "_bin", "_v", "_w", "_b", _bin(F.col("_l"), F.col("_h")).alias("_sub"))
-    parts = [*keys, "_bin"]
-    fine = materialize(_histogram(again, parts, "_sub", "_b").join(
-        chosen.select(*parts, "_name", "_target", "n", "total"), parts).where(hit).select(
-        *parts, "_sub", "_before", "_name", "_target", "n", "total"))
-    # Only the parts that hold a target are ordered, by distinct value.
-    parts = [*parts, "_sub"]
-    held = fine.select(*parts, "_before").dropDuplicates(parts)
-    inner = again.join(held, parts).groupBy(*parts, "_before", "_v").agg(F.sum("_w").alias("_w"))
-    w = Window.partitionBy(*parts).orderBy("_v")
-    ordered = inner.select(
-        *parts, "_v", (F.col("_before") + F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
-        F.lead("_v").over(w).isNull().alias("_end"))
-    return _pick(ordered, fine.select(*parts, "n", "total", "_name", "_target"), keys, parts, targets)
+def _bin(value: Column) -> Column:
+    """A whole number in the order of the values: NaN last, infinities at the ends."""
+    end = F.lit(4 * LOWEST * OCTAVE)
+    size = F.floor(F.log2(F.abs(value)) * OCTAVE) + LOWEST * OCTAVE
+    return (F.when(F.isnan(value), end + 1).when(value == float("inf"), end).when(value == float("-inf"), -end)
+            .when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)).cast("int")
+
+
+def _cut(low: Column, high: Column) -> Column:
+    return F.when(high > low, F.floor((F.col("_v") - low) / (high - low) * (BINS - 1))).otherwise(F.lit(0)).cast("int")
+
+
+def _sums(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """Weight, rows, distinct values and extremes of each part."""
+    return rows.groupBy(*parts).agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"),
+                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def _hits(sums: DataFrame, group: list[str], part: str, start: Column, carried: list[Column], wanted: Column) -> DataFrame:
+    """The parts in which a target lies, with the targets there and the weight before the part.
+
+    `start` is the weight before the first part of `group`.
+    """
+    upto = Window.partitionBy(*group).orderBy(part)
+    reach = sums.select(
+        *group, part, "_d", "_lo", "_hi", *carried, wanted.alias("_goals"),
+        (start + F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0))).alias("_upto"),
+        (start + F.coalesce(F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("_before"),
+        F.lead(part).over(upto).isNull().alias("_last"), F.lag(part).over(upto).isNull().alias("_first"))
+    inside = F.filter("_goals", lambda t: ((F.col("_before") < t["target"]) | F.col("_first")) & ((F.col("_upto") >= t["target"]) | F.col("_last")))
+    return reach.withColumn("_goals", inside).where(F.size("_goals") > 0).drop("_upto", "_last", "_first")
+
+
+def _select(base: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
+    if not keys:  # one group, and one row even without values
+        found = _select(base.withColumn("_all", F.lit(0)), ["_all"], targets)
+        return found.groupBy().agg(*[F.first(c).alias(c) for c in found.columns if c != "_all"])
+    rows = materialize(base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n")))
+    rows, parts = rows.withColumn("_part0", _bin(F.col("_v"))), [*keys, "_part0"]
+    whole = Window.partitionBy(*keys)
+    sums = _sums(rows, parts).withColumns({"n": F.sum("_n").over(whole), "total": F.sum("_w").over(whole)})
+    goals = F.array(*[F.struct(F.lit(name).alias("name"), target.cast("double").alias("target")) for name, target in targets.items()])
+    found = materialize(_hits(sums, keys, "_part0", F.lit(0.0), [F.col("n"), F.col("total")], goals))
+    while (found.agg(F.max("_d")).first()[0] or 0) > ROWS:  # each cut divides the span of a part by `BINS`
+        name = f"_part{len(parts) - len(keys)}"
+        rows = rows.join(found.select(*parts, "_lo", "_hi"), parts).withColumn(name, _cut(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        held = found.select(*parts, "n", "total", F.col("_goals").alias("_old"), F.col("_before").alias("_start"))
+        inner = _sums(rows, [*parts, name]).join(held, parts)
+        found = materialize(_hits(inner, parts, name, F.col("_start"), [F.col("n"), F.col("total")], F.col("_old")))
+        parts = [*parts, name]
+    order = Window.partitionBy(*parts).orderBy("_v")
+    ordered = rows.join(found.select(*parts, "n", "total", "_goals", "_before"), parts).select(
+        *keys, "n", "total", "_v", "_goals", (F.col("_before") + F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
+        F.lead("_v").over(order).isNull().alias("_end"))
+    reached = ordered.select(*keys, "n", "total", "_v", F.explode(F.filter("_goals", lambda t: (F.col("_cum") >= t["target"]) | F.col("_end"))).alias("_t"))
+    return reached.groupBy(*keys).agg(F.first("n").alias("n"), F.first("total").alias("total"), *[
+        F.min(F.when(F.col("_t.name") == name, F.col("_v"))).alias(name) for name in targets])
 
 
 def select_by_weight(df: DataFrame, keys: list[str], value: str | Column, targets: dict[str, Column],
