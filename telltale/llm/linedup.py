@@ -8,8 +8,7 @@ The join: a line of length l is cut into threshold + 1 segments of even length,
 two lines within the threshold, the longer holds some segment of the shorter unchanged, shifted by a bounded
 number of places. So each line is indexed under (l, segment number, segment) and probes, for each
 length l from its own down to that less the threshold, the substrings that the multi-match rule leaves (12 for the
-threshold 2). Index and probes meet by the hash of that key, and carry the counts of eleven letters.
-An edit moves these by two in sum at most, so most strangers with a common segment part within the join. What is left is verified on the whole lines by a banded bit-parallel automaton: one
+threshold 2). Index and probes meet by the hash of that key, and carry the counts of eleven letters. An edit moves these by two in sum at most, so most strangers with a common segment part within the join. What is left is verified on the whole lines by a banded bit-parallel automaton: one
 bit mask per error count over the 2 * threshold + 1 diagonals, moved on by one character a step.
 
 Only distinct lines are indexed, so a line that is everywhere costs one entry. Lines are told apart by
@@ -18,6 +17,7 @@ Only distinct lines are indexed, so a line that is everywhere costs one entry. L
 Defined results: a null text counts as empty and stays null; short lines are never removed. Ids order nulls last;
 places that share id and line number (repeated rows, or null ids) are ties, and all of them stay if they are the
 first. A document all of whose lines go is kept with an empty text. Empty tables give empty results.
+Very long texts and lines are taken whole.
 Input columns must not be named `_id`, `_h` or `_gone`; others pass through.
 """
 from __future__ import annotations
@@ -30,7 +30,7 @@ THRESHOLD = 2
 MIN_CHARS = 16
 NEAR_CHARS = MIN_CHARS  # every line that an exact copy can remove takes part in the edit join
 COUNTED = "eantiorsdhl"
-BROADCAST_ROWS = 1_000_000  # 8-byte ids: a side below this is at most some 30 MB
+BROADCAST_ROWS = 1_000_000  # 8-byte ids: a side counted below this is at most some 30 MB; a larger one is shuffled
 
 
 def _place(doc_id: Column, line: Column) -> Column:
@@ -40,10 +40,10 @@ def _place(doc_id: Column, line: Column) -> Column:
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_hash, pos (from 0), line, h1, h2, place for every line that is long enough."""
+    """doc_id, text_hash, pos (from 0), line, size, h1, h2, place for every line that is long enough."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
                        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars)
+    rows = rows.withColumn("size", F.char_length("line")).where(F.col("size") >= min_chars)
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
                        _place(F.col("doc_id"), F.col("pos")).alias("place"))
 
@@ -65,8 +65,7 @@ def shifts(threshold: int) -> list[tuple[int, int, int]]:
             for s in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)]
 
 
-def _keys(line: Column, threshold: int) -> dict[str, Column]:
-    length = F.char_length(line)
+def _keys(line: Column, length: Column, threshold: int) -> dict[str, Column]:
     out = {}
     for d, i, s in shifts(threshold):
         start, size = segments(length - d, threshold)[i]
@@ -135,9 +134,9 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per distinct line: h1, h2, first place, how often, letter counts and probe keys (null if the line is short)."""
-    long_enough = F.char_length("line") >= near_chars
+    long_enough = F.col("size") >= near_chars
     keyed = found.select("h1", "h2", "place", F.when(long_enough, _letters(F.col("line"))).alias("letters"), *[
-        F.when(long_enough, k).alias(n) for n, k in _keys(F.col("line"), threshold).items()])
+        F.when(long_enough, k).alias(n) for n, k in _keys(F.col("line"), F.col("size"), threshold).items()])
     names = [c for c in keyed.columns if c not in ("h1", "h2", "place")]
     return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"),
                                          *[F.min(c).alias(c) for c in names])
@@ -163,8 +162,8 @@ def links(found: DataFrame, known: DataFrame, threshold: int = THRESHOLD, near_c
     pairs = materialize(candidates(known, threshold))
     wanted = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
     if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # a larger one meets the lines by a shuffle
-    named = found.where(F.char_length("line") >= near_chars)
+        wanted = F.broadcast(wanted)
+    named = found.where(F.col("size") >= near_chars)
     whole = materialize(named.join(wanted, "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.min("place").alias("first")))
     left = whole.select(F.col("h1").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "line", "first")])
     right = whole.select(F.col("h1").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("h1", "h2", "line", "first")])
