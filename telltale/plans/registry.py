@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fleet", "streams", "cases", "signals", "texts", "places", "runs", "models", "validation", "live")
+MODULES = ("fleet", "streams", "cases", "signals", "texts", "places", "runs", "models", "validation", "live", "identity")
 
 
 def catalog() -> dict:
