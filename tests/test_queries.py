@@ -8,7 +8,8 @@ SF = f"{DATA}/sf0.001"
 PLAIN = ["attention_queue", "fleet_totals", "stale_components", "masked_gaps", "stream_segments", "annotation_check",
          "interval_overlaps", "trace_sample", "nearest_reading", "car_features", "channel_spectrum", "side_contrast",
          "class_report", "group_folds", "lexical_search", "redacted_documents", "order_events", "nearest_stations",
-         "run_aggregates", "export_problems", "live_stream_segments"]
+         "run_aggregates", "export_problems", "live_stream_segments", "segment_digests", "repeated_segments", "case_digests",
+         "telemetry_order"]
 CHUNKED = ["reference_statistics", "stream_cadence", "action_statistics", "trace_buckets", "car_features", "turning_points"]
 
 
