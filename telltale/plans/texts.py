@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telltale.operators import text as tx
+from telltale.operators import records, text as tx
 from telltale.sources import tables
 
 QUERY = "how does the re tion and en la"
@@ -79,6 +79,25 @@ def redacted_records(spark, sf_dir):
     return e.select("conv_id", "turn", clean["api_key"].alias("api_key"), clean["note"].alias("note"))
 
 
+def _nested(spark, sf_dir):
+    """One record of depth 6 per message, with a score that is not a number in every other one."""
+    e = tables.table(spark, sf_dir, "conversations")
+    lines = F.split("text", "\n", -1)
+    deep = F.struct(F.struct(F.struct(F.concat(F.lit("token = abc123 "), F.col("text")).alias("note"), F.array("role").alias("by")).alias("c")).alias("b"))
+    who = F.struct(F.col("role").alias("name"), F.struct(F.col("text").alias("t")).alias("access_token"), lines.alias("lines"), deep.alias("a"))
+    score = F.when(F.col("turn") % 2 == 0, "NaN").otherwise("0.5")
+    return e.select("conv_id", "turn", F.concat(
+        F.lit('{"turn": '), F.col("turn").cast("string"), F.lit(', "score": '), score, F.lit(', "who": '), F.to_json(who), F.lit("}")).alias("record"))
+
+
+def nested_records(spark, sf_dir):
+    return records.redact_records(_nested(spark, sf_dir), "record", ["conv_id", "turn"])
+
+
+def record_summaries(spark, sf_dir):
+    return records.bounded_records(_nested(spark, sf_dir), "record", ["conv_id", "turn"], max_depth=3, items=2, chars=40)
+
+
 def bounded_lines(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     b = tx.bounded_list(F.split("text", "\n", -1))
@@ -157,6 +176,15 @@ SELECT conv_id, turn, CAST(len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN
     "wording_check": (wording_check, WORDING),
     "redacted_records": (redacted_records, f"""WITH r AS (SELECT conv_id, turn, 'token = abc123 ' || text AS t FROM conversations)
 SELECT conv_id, turn, '[REDACTED]' AS api_key, {redacted_sql('t')} AS note FROM r"""),
+    "nested_records": (nested_records, f"""WITH r AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l, 'token = abc123 ' || text AS t FROM conversations)
+SELECT conv_id, turn, '{{"turn":' || turn || ',"score":' || CASE WHEN turn % 2 = 0 THEN 'null' ELSE '0.5' END
+|| ',"who":{{"name":' || to_json(role) || ',"access_token":"[REDACTED]","lines":' || to_json(list_transform(l, lambda x: {redacted_sql('x')}))
+|| ',"a":{{"b":{{"c":{{"note":' || to_json({redacted_sql('t')}) || ',"by":[' || to_json(role) || ']}}}}}}}}}}' AS safe FROM r"""),
+    "record_summaries": (record_summaries, f"""WITH r AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM conversations),
+s AS (SELECT *, list_transform(l[:2], lambda x: {redacted_sql('x')}) AS k FROM r)
+SELECT conv_id, turn, '{{"turn":' || turn || ',"score":' || CASE WHEN turn % 2 = 0 THEN 'null' ELSE '0.5' END || ',"who":{{"name":' || to_json(role) || ',"lines":['
+|| array_to_string(list_transform(k, lambda x: to_json(CASE WHEN length(x) > 40 THEN x[:40] || '… [text truncated]' ELSE x END)), ',')
+|| CASE WHEN len(l) > 2 THEN ',{{"omitted_items":' || (len(l) - 2) || '}}' ELSE '' END || '],"a":{{"b":{{"c":"[nested details omitted]"}}}}}}}}' AS summary FROM s"""),
     "bounded_lines": (bounded_lines, f"""WITH r AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, length({redacted_sql('text')}) AS k FROM documents)
 SELECT doc_id, CAST(least(n, 24) AS INT) AS kept, CAST(greatest(0, n - 24) AS INT) AS omitted, CAST(CASE WHEN k > 1000 THEN 1018 ELSE k END AS INT) AS shown FROM r"""),
 }
