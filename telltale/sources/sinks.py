@@ -1,11 +1,12 @@
 """Writers of predictions, export selections, report tables and validation records."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telltale.functions.columns import finite
 from telltale.operators.catalog import COLUMNS, export_problems, require_valid, scoped
 from telltale.operators.clean import format_native_time
+from telltale.session import materialize
 
 
 def output_columns(p: DataFrame, subsystem: str) -> DataFrame:
@@ -49,6 +50,44 @@ def write_validation(metadata: DataFrame, candidates: DataFrame, folds: DataFram
                          "validation_folds": folds, "oof_predictions": oof}, path)
 
 
-def append_features(new: DataFrame, path: str) -> None:
-    """Add the features of new content to the feature table, keyed by content hash."""
-    new.write.mode("append").parquet(path)
+def append_features(new: DataFrame, path: str, key: str = "file_id", content: str = "sha256", buckets: int = 64) -> int:
+    """Put the features of new or changed files into the feature table; returns how many files were written.
+
+    A file whose content hash is already there under its name adds nothing, so a repeated run is
+    harmless; a changed one replaces its rows. Files lie in `buckets` partitions by a hash of their
+    name, and only the partitions touched are written again: their new state is first written whole to
+    the shared folder, then put in place partition by partition. Within one call, rows of a file that
+    disagree on the hash stop it. One writer at a time.
+    """
+    spark = new.sparkSession
+    rows = materialize(new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    unclear = rows.groupBy(key).agg(F.countDistinct(content).alias("n"), F.count_if(F.col(content).isNull()).alias("bad")).where(
+        "n <> 1 or bad > 0").select(key).limit(5).collect()
+    if unclear:
+        raise ValueError(f"A file needs exactly one content hash: {', '.join(str(r[0]) for r in unclear)}")
+    if not _written(spark, path):
+        rows.write.partitionBy("bucket").parquet(path)
+        return rows.select(key).distinct().count()
+    table = spark.read.parquet(path)
+    fresh = materialize(rows.join(table.select(key, content).distinct(), [key, content], "left_anti"))
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return 0
+    kept = table.where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
+    state = materialize(kept.unionByName(fresh, allowMissingColumns=True))
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return fresh.select(key).distinct().count()
+
+
+def cached_features(files: DataFrame, path: str, key: str = "file_id", content: str = "sha256") -> tuple[DataFrame | None, DataFrame]:
+    """(features of the files whose content the table knows, files that still need theirs)."""
+    if not _written(files.sparkSession, path):
+        return None, files
+    table = files.sparkSession.read.parquet(path).drop("bucket")
+    names = files.select(key, content).distinct()
+    return table.join(names, [key, content], "left_semi"), files.join(table.select(key, content).distinct(), [key, content], "left_anti")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -90,6 +90,39 @@ def test_series_keeps_its_first_line(spark, tmp_path):
         files.read_series(spark, str(tmp_path / "t"))
 
 
+def test_files_cut_into_byte_ranges_keep_their_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    values = {f"{n}.csv": rng.normal(size=n) for n in (128, 1_000, 7_777)}
+    for name, v in values.items():
+        write(tmp_path / "s" / name, ("\ufeff" if name == "128.csv" else "") + "\r\n".join(map(repr, v.tolist())) + ("\n" if name != "1000.csv" else ""))
+    write(tmp_path / "w" / "x.csv", rail_csv(range(129), 50, rng))
+    write(tmp_path / "w" / "y.csv", rail_csv(list(range(129))[::-1], 50, rng))
+    whole = {(r["file_id"], r["car"], r["position"], r["kind"]): r for r in files.read_waveforms(spark, str(tmp_path / "w"), 50).collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path / "s"))
+        assert spark.read.text(str(tmp_path / "s")).rdd.getNumPartitions() > 20
+        assert lines.groupBy("file_path", "idx").count().where("count > 1").count() == 0
+        got = files.read_series(spark, str(tmp_path / "s")).orderBy("file_id", "idx").collect()
+        for name, v in values.items():
+            assert [r["value"] for r in got if r["file_id"] == name] == v.tolist()
+        rows = files.read_waveform_rows(spark, str(tmp_path / "w"), 50)
+        arrays = rows.groupBy("file_id", "car", "position", "kind", "side").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s")).collect()
+        assert len(arrays) == len(whole) == 258
+        for r in arrays:
+            twin = whole[r["file_id"], r["car"], r["position"], r["kind"]]
+            assert [p["value"] for p in r["s"]] == twin["samples"] and r["side"] == twin["side"] and [p["idx"] for p in r["s"]] == list(range(50))
+        write(tmp_path / "d" / "x.csv", rail_csv(range(129), 20, rng, damaged=True))
+        for samples, message in ((20, "missing"), (21, "number of samples")):
+            with pytest.raises(ValueError, match=message):
+                files.read_waveform_rows(spark, str(tmp_path / "d"), samples)
+        with pytest.raises(ValueError, match="longer"):
+            files.numbered_lines(spark, str(tmp_path / "w"), line_bytes=100)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_labels_are_exact(spark, tmp_path):
     assert files.read_labels(spark, write(tmp_path / "l.csv", "filename,label\na.csv,Normal\nb.csv,Side I\n"), "label").count() == 2
     for body in ("filename,label\na.csv,Normal\na.csv,Normal\n", "filename,label\n../a.csv,Normal\n", "filename,label\na.csv,Odd\n", "filename,tag\na,b\n"):
@@ -143,6 +176,29 @@ def test_report_tables_null_what_is_not_finite(spark, saved, tmp_path):
     assert back.count() == 4 and back.where("isnan(damage)").count() == 0 and back.where("file_id = 'bad.csv'").first()["damage"] is None
 
 
+def test_feature_table_takes_each_content_once(spark, tmp_path):
+    path = str(tmp_path / "features")
+    schema = "file_id string, sha256 string, side string, rms double"
+    def batch(names, version=1):
+        return spark.createDataFrame([(n, f"{n}-{version}", side, float(version)) for n in names for side in ("a", "b")], schema)
+    names = [f"f{i}" for i in range(20)]
+    assert sinks.cached_features(batch(names), path)[0] is None
+    assert sinks.append_features(batch(names), path, buckets=4) == 20
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "features").rglob("part-*")}
+    assert sinks.append_features(batch(names), path, buckets=4) == 0
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "features").rglob("part-*")}
+    assert sinks.append_features(batch(["f3"], 2).unionByName(batch(["f4", "new"])), path, buckets=4) == 2
+    rows = spark.read.parquet(path).orderBy("file_id", "side").collect()
+    assert len(rows) == 42 and {r["sha256"] for r in rows if r["file_id"] == "f3"} == {"f3-2"}
+    untouched = {p.parent.name for p in before} - {p.parent.name for p in (tmp_path / "features").rglob("part-*") if p not in before}
+    assert untouched  # partitions without a new file keep their files
+    known, missing = sinks.cached_features(batch(["f3", "f5"]), path)
+    assert {r["file_id"] for r in known.collect()} == {"f5"} and {r["file_id"] for r in missing.collect()} == {"f3"}
+    assert sinks.append_features(batch([]), path, buckets=4) == 0
+    with pytest.raises(ValueError):
+        sinks.append_features(batch(["f9"]).unionByName(batch(["f9"], 2)), path, buckets=4)
+
+
 def test_stream_in_batches_equals_one_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i % 3, start + dt.timedelta(minutes=7 * i + (120 if i > 40 else 0))) for i in range(80)] + [(9, start + dt.timedelta(days=3))]
