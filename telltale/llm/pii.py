@@ -10,7 +10,8 @@ A span always has a digit or an at-sign, so windows cover every such character o
 characters around, and overlap by half where a stretch is longer than one window. Each window is decoded by Viterbi; spans
 that a window cuts are left to its neighbour. All spans of a document are then reconciled at once: the
 non-overlapping set with the largest total score, pattern spans fixed. An added span must be valid of its kind (four
-numbers up to 255; 16 to 19 digits that pass Luhn; 8 to 15 digits; an address), so doubtful ones are left alone.
+numbers up to 255; 16 to 19 digits that pass Luhn; 8 to 15 digits; an address) and stand free, with no letter or digit
+directly before or after it, so parts of longer numbers and of hexadecimal words are left alone.
 
 Defined results: null and empty texts have no spans. Repeated rows give the same spans. Offsets are code points, the end is
 exclusive. Without any pattern span in the sample nothing is added. Columns other than the id and the text are not read.
@@ -64,6 +65,10 @@ def valid(kind: int, text: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
 
 
+def stands_free(text: str, a: int, b: int) -> bool:
+    return not (a > 0 and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by kind, then start; a match that fails its check is dropped, without another try."""
     out: list[Span] = []
@@ -131,8 +136,12 @@ def _variants(rows: list[tuple[str, list[Span]]], draw: np.random.Generator) ->
         text, found = head, []
         for j, (kind, value) in enumerate(chosen[:int(draw.integers(1, 4))]):
             value = "".join(str(draw.integers(10)) if c.isdigit() and draw.random() < 0.6 else c for c in value)
-            if kind == 3 and draw.random() < 0.2:
-                value = value.replace("(", "").replace(")", "")
+            if kind == 3:
+                if draw.random() < 0.2:
+                    value = value.replace("(", "").replace(")", "")
+                if draw.random() < 0.4:  # without its sign, half of them without the country's digits too
+                    bare = re.sub(r"^\+[0-9]{1,3}[\x20.-]+", "", value)
+                    value = bare if draw.random() < 0.5 and valid(3, bare) else value.removeprefix("+")
             if kind == 2 and draw.random() < 0.25:
                 value = "-- "[int(draw.integers(3))].join(_digits(value)[i:i + 4] for i in range(0, len(_digits(value)), 4))
             text += (" " if j else "") + value
@@ -242,7 +251,7 @@ def added_spans(batch: list[str], fixed: list[list[Span]], tagger: Tagger, chunk
                         y += 1
                     cut = (x == 0 and a > first) or (y == b - a and b < last)
                     span = (label // 2, a + x, a + y)
-                    if not cut and valid(span[0], batch[i][a + x:a + y]):
+                    if not cut and valid(span[0], batch[i][a + x:a + y]) and stands_free(batch[i], a + x, a + y):
                         found[i][span] = max(found[i].get(span, 0.0), 1.0 + float(np.clip(margin[x:y].sum(), 0, 1e6)))
                 x = y
     return [reconcile(f, own) for f, own in zip(found, fixed)]
