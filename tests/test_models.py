@@ -30,7 +30,7 @@ def test_training_records_and_new_content(spark, tmp_path):
     one = spark.createDataFrame([("m", float("inf"))], "name string, score double")
     sinks.write_validation(one, one, one, one, str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v" / "validation_candidates")).first()["score"] is None
-    files = spark.createDataFrame([("h1",), ("h2",)], "sha256 string")
+    files = spark.createDataFrame([("a", "h1"), ("b", "h2")], "file_id string, sha256 string")
     sinks.append_features(files.where("sha256 = 'h1'"), str(tmp_path / "f"))
     known = spark.read.parquet(str(tmp_path / "f"))
     assert [r["sha256"] for r in learn.new_content(files, known).collect()] == ["h2"]
