@@ -302,6 +302,77 @@ def measured_sentence(evidence: DataFrame) -> DataFrame:
     return both.select("run_id", "file_id", F.concat(F.array_join(F.array_compact(F.array(a, b)), "; "), F.lit(".")).alias("text"))
 
 
+# Identifiers of the measurements a summary may name, with the unit each must have; those of cabin
+# temperatures alone may be negative.
+ACTION_MEASURE = r"^door-action-([0-9]+)-(current|duration)$"
+MEASURE_UNITS = {"current": "mA", "duration": "seconds", "door-cadence": "seconds", "rail-side-1-vibration": "m/s²",
+                 "rail-side-2-vibration": "m/s²", "acv-coverage": "cars", "shm-rms": "raw stress units",
+                 "shm-cycles": "cycles including half cycles"}
+CAR_UNIT = "raw temperature units"
+
+
+def measured_facts(files: DataFrame, evidence: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Measured facts and their sentence of every file that has some, all tasks in one pass.
+
+    files: run_id, file_id, subsystem, first_car, predicted_class; evidence: run_id, file_id, id,
+    value, unit; flagged: run_id, file_id, action, the numbers of the door actions flagged. A
+    measurement counts only if its id occurs once in the file, with its unit and a usable value. Door
+    files name the first flagged action with a current, others the sampling interval; cooling files
+    the first car, unless no car is usable; rail files the side of their class, or both.
+    """
+    key = ["run_id", "file_id"]
+    part = [F.regexp_extract("id", ACTION_MEASURE, i) for i in (1, 2)]
+    name = F.when(part[1] != "", part[1]).otherwise(F.col("id"))
+    unit = F.when(F.startswith("_name", F.lit("acv-car-")), CAR_UNIT).otherwise(
+        F.create_map(*[F.lit(x) for pair in MEASURE_UNITS.items() for x in pair])[F.col("_name")])
+    rows = evidence.select(*key, "id", "value", "unit", part[0].try_cast("long").alias("action"), name.alias("_name"))
+    usable = (F.col("unit") == unit) & finite("value").isNotNull() & (F.startswith("_name", F.lit("acv-car-")) | (F.col("value") >= 0))
+    one = rows.groupBy(*key, "_name", "action", "id").agg(
+        F.count(F.lit(1)).alias("_k"), F.max(F.when(usable, F.col("value"))).alias("value")).where("_k = 1 and value is not null")
+    # Only flagged actions speak; the current and duration of one meet in a group of two rows.
+    acts = one.where("action is not null").join(flagged.select(*key, "action").distinct(), [*key, "action"], "left_semi")
+    acts = acts.groupBy(*key, "action").agg(*[F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n) for n in ("current", "duration")])
+    first = acts.where("current is not null").groupBy(*key).agg(F.min(F.struct("action", "current", "duration")).alias("_first"))
+    info = files.select(*key, "subsystem", "first_car", "predicted_class")
+
+    def value_of(name: str | Column) -> Column:
+        return F.max(F.when(F.col("_name") == name, F.col("value")))
+
+    known = one.where("action is null").join(info.select(*key, "first_car"), key)
+    rest = known.groupBy(*key).agg(
+        value_of("door-cadence").alias("_step"), value_of("rail-side-1-vibration").alias("_one"), value_of("rail-side-2-vibration").alias("_two"),
+        value_of("acv-coverage").alias("_usable"), value_of(F.concat(F.lit("acv-car-"), F.col("first_car"))).alias("_car"),
+        value_of("shm-rms").alias("_rms"), value_of("shm-cycles").alias("_cycles"))
+    r = info.join(rest, key, "left").join(first, key, "left")
+    s, text = F.col("subsystem"), number_text
+    a = F.col("_first")
+    over = F.coalesce(F.concat(F.lit(" over about "), text(a["duration"]), F.lit(" s.")), F.lit("."))
+    door = F.when(a.isNotNull(), F.concat(F.lit("Flagged movement "), a["action"].cast("string"), F.lit(": peak motor current about "),
+                                          text(a["current"]), F.lit(" mA"), over)).when(
+        F.col("_step") > 0, F.concat(F.lit("Median sampling interval: about "), text("_step"), F.lit(" s.")))
+    acv = F.when(F.coalesce("_usable", F.lit(1.0)) != 0, F.concat(
+        F.lit("Median cabin temperature minus target: about "), text("_car"), F.lit(" raw temperature units.")))
+    label = F.col("predicted_class")
+    sides = F.array_compact(F.array(
+        F.when(label.isin("Normal", "Side I"), F.concat(F.lit("Side I about "), text("_one"))),
+        F.when(label.isin("Normal", "Side II"), F.concat(F.lit("Side II about "), text("_two")))))
+    rail = F.when(F.size(sides) > 0, F.concat(F.lit("Typical vibration (median RMS): "), F.array_join(sides, ", "), F.lit(" m/s².")))
+    parts = F.array_compact(F.array(
+        F.concat(F.lit("Stress level (RMS): about "), text("_rms"), F.lit(" raw stress units")),
+        F.concat(F.lit("rainflow count: about "), text("_cycles"), F.lit(" cycles"))))
+    shm = F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "; "), F.lit(".")))
+    is_door, is_rail, is_acv = s == "door", s == "rail", (s == "acv") & (F.coalesce("_usable", F.lit(1.0)) != 0)
+    out = r.select(
+        *key, "subsystem", F.when(is_door, a["action"]).alias("flagged_action"), F.when(is_door, a["current"]).alias("peak_current_ma"),
+        F.when(is_door, a["duration"]).alias("duration_s"),
+        F.when(is_door & a.isNull() & (F.col("_step") > 0), F.col("_step")).alias("sample_interval_s"),
+        F.when(is_acv, F.col("_car")).alias("first_car_difference"), F.when(is_rail, F.col("_one")).alias("side_1_rms"),
+        F.when(is_rail, F.col("_two")).alias("side_2_rms"), F.when(s == "shm", F.col("_rms")).alias("stress_rms"),
+        F.when(s == "shm", F.col("_cycles")).alias("rainflow_cycles"),
+        F.when(is_door, door).when(is_rail, rail).when(s == "acv", acv).when(s == "shm", shm).alias("text"))
+    return out.where("text is not null")
+
+
 def default_basket(runs: DataFrame, p: DataFrame) -> DataFrame:
     """Files of the newest completed run of each subsystem: the initial export choice."""
     chosen = latest_completed(runs).select("run_id")

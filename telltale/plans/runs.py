@@ -234,6 +234,42 @@ def file_measurements(spark, sf_dir):
                       F.round(F.regexp_extract("text", r"about ([0-9.e+]+)", 1).cast("double"), 4).alias("value"))
 
 
+def task_evidence(spark, sf_dir):
+    """Evidence of all four tasks: run_id, file_id, id, value, unit."""
+    cols = ["run_id", "file_id", "id", "value", "unit"]
+    acts = streams.labelled(spark, sf_dir, 6).withColumn("duration", seconds_between("start", "end"))
+    name = lambda head, c, tail: F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail))
+    door = reports.action_evidence(acts, ["stream_id"]).withColumns({
+        "run_id": run_id("door", F.col("stream_id") % 7), "file_id": name("door_", "stream_id", ".csv")})
+    pace = tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("value")).select(
+        run_id("door", F.col("user_id") % 7).alias("run_id"), name("door_", "user_id", ".csv").alias("file_id"),
+        F.lit("door-cadence").alias("id"), "value", F.lit("seconds").alias("unit"))
+    rail = tables.table(spark, sf_dir, "embeddings").select(
+        run_id("rail", F.col("vec_id") % 5).alias("run_id"), name("Rail ", "vec_id", ".csv").alias("file_id"),
+        F.posexplode(F.slice("embedding", 1, 2)).alias("side", "value")).select(
+        "run_id", "file_id", F.concat(F.lit("rail-side-"), (F.col("side") + 1).cast("string"), F.lit("-vibration")).alias("id"),
+        F.col("value").cast("double").alias("value"), F.lit("m/s²").alias("unit"))
+    cars = tables.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("car")).select(
+        run_id("acv", F.col("s_suppkey") % 3).alias("run_id"), name("case_", "s_suppkey", ".xlsx").alias("file_id"),
+        F.when(F.col("car") == 0, "acv-coverage").otherwise(F.concat(F.lit("acv-car-"), F.lpad(F.col("car").cast("string"), 2, "0"))).alias("id"),
+        F.when(F.col("car") == 0, F.col("s_suppkey") % 9).otherwise(F.col("s_acctbal").cast("double") + F.col("car")).cast("double").alias("value"),
+        F.when(F.col("car") == 0, "cars").otherwise("raw temperature units").alias("unit"))
+    out = stress_evidence(spark, sf_dir).select(*cols)
+    for part in (door, pace, rail, cars):
+        out = out.unionByName(part.select(*cols))
+    return out
+
+
+def measured_facts(spark, sf_dir):
+    """Facts of every file with a measurement, and its sentence with the numbers taken out."""
+    flagged = predictions(spark, sf_dir).where("subsystem = 'door' and prediction = 'Abnormal resistance'").select(
+        "run_id", "file_id", (F.col("row_no") + 1).cast("long").alias("action"))
+    out = catalog.measured_facts(files(spark, sf_dir), task_evidence(spark, sf_dir), flagged)
+    return out.select("run_id", "file_id", "subsystem", "flagged_action", *[F.round(c, 4).alias(c) for c in (
+        "peak_current_ma", "duration_s", "sample_interval_s", "first_car_difference", "side_1_rms", "side_2_rms", "stress_rms")],
+        F.regexp_replace("text", r"about -?[0-9.e+-]*[0-9]", "about #").alias("wording"))
+
+
 def cautions(spark, sf_dir):
     """Short cautions of files that carry one of the limiting warnings."""
     p = files(spark, sf_dir)
@@ -392,6 +428,29 @@ SELECT run_id, subsystem, file_id, CASE subsystem WHEN 'door' THEN abnormal_acti
 FROM fl"""),
     "file_measurements": (file_measurements, f"""WITH {EVID}, d AS (SELECT file_id, rms, pow(10, floor(log10(rms)) - 5) AS u FROM e)
 SELECT file_id, 'Stress level (RMS): about ' AS lead, round(round(rms / u) * u, 4) AS value FROM d"""),
+    "measured_facts": (measured_facts, f"""WITH {PRED}, {EVID.strip()},
+a1 AS (SELECT 'door_' || stream_id || '.csv' AS file_id, min(segment) AS seg FROM ac WHERE label = 'Abnormal resistance' GROUP BY stream_id),
+d AS (SELECT 'door_' || stream_id || '.csv' AS file_id, segment + 1 AS action, peak, (epoch_us(fin) - epoch_us(start)) / CAST(1000000 AS DOUBLE) AS dur
+  FROM ac JOIN a1 ON a1.file_id = 'door_' || stream_id || '.csv' AND seg = segment),
+st AS (SELECT 'door_' || user_id || '.csv' AS file_id, max(value) AS step FROM events GROUP BY user_id),
+ra AS (SELECT 'Rail ' || vec_id || '.csv' AS file_id, CASE WHEN embedding[1] >= 0 THEN CAST(embedding[1] AS DOUBLE) END AS one,
+  CASE WHEN embedding[2] >= 0 THEN CAST(embedding[2] AS DOUBLE) END AS two FROM embeddings),
+ca AS (SELECT 'case_' || s_suppkey || '.xlsx' AS file_id, s_acctbal + CAST(s_suppkey % 8 + 1 AS DOUBLE) AS diff FROM supplier WHERE s_suppkey % 9 <> 0),
+al AS (SELECT fl.run_id, fl.file_id, fl.subsystem, action AS flagged_action, peak AS peak_current_ma, dur AS duration_s,
+  CASE WHEN subsystem = 'door' AND action IS NULL AND step > 0 THEN step END AS sample_interval_s, diff AS first_car_difference,
+  one AS side_1_rms, two AS side_2_rms, rms AS stress_rms,
+  CASE WHEN subsystem = 'door' AND action IS NOT NULL THEN 'Flagged movement ' || action || ': peak motor current about # mA over about # s.'
+    WHEN subsystem = 'door' AND step > 0 THEN 'Median sampling interval: about # s.'
+    WHEN subsystem = 'acv' AND diff IS NOT NULL THEN 'Median cabin temperature minus target: about # raw temperature units.'
+    WHEN subsystem = 'rail' AND ((one IS NOT NULL AND predicted_class <> 'Side II') OR (two IS NOT NULL AND predicted_class <> 'Side I'))
+      THEN 'Typical vibration (median RMS): ' || concat_ws(', ', CASE WHEN one IS NOT NULL AND predicted_class <> 'Side II' THEN 'Side I about #' END,
+        CASE WHEN two IS NOT NULL AND predicted_class <> 'Side I' THEN 'Side II about #' END) || ' m/s².'
+    WHEN subsystem = 'shm' AND rms IS NOT NULL THEN 'Stress level (RMS): about # raw stress units.' END AS wording
+  FROM fl LEFT JOIN d USING (file_id) LEFT JOIN st USING (file_id) LEFT JOIN ra USING (file_id) LEFT JOIN ca USING (file_id)
+  LEFT JOIN (SELECT file_id, rms FROM e) AS sh USING (file_id))
+SELECT run_id, file_id, subsystem, flagged_action, round(peak_current_ma, 4) AS peak_current_ma, round(duration_s, 4) AS duration_s,
+  round(sample_interval_s, 4) AS sample_interval_s, round(first_car_difference, 4) AS first_car_difference, round(side_1_rms, 4) AS side_1_rms,
+  round(side_2_rms, 4) AS side_2_rms, round(stress_rms, 4) AS stress_rms, wording FROM al WHERE wording IS NOT NULL"""),
     "cautions": (cautions, f"""WITH {PRED}
 SELECT file_id, 'Check input limits: ' || CASE subsystem WHEN 'door' THEN 'the true movement count is unknown' ELSE 'the estimate is outside the training range' END
   || '. Review the analysis notes before using this result.' AS caution
