@@ -60,10 +60,14 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, strength: float
     return model_table(df.sparkSession, features, scaling, fitted.coefficients, fitted.intercept)
 
 
+class NoPairs(ValueError):
+    """No case has evidence of both its labelled car and a peer, so there is nothing to fit."""
+
+
 def fit_pairwise(cars: DataFrame, features: list[str], strength: float = 0.3) -> DataFrame:
     """Ranker from differences between each case's labelled car and its peers, both ways round.
 
-    cars: file_id, car, faulty (0/1), features. A case has at most eight cars.
+    cars: file_id, car, faulty (0/1), features. A case has at most eight cars. Without a pair there is no model (`NoPairs`).
     """
     scaling = fit_scaling(cars, features)
     z = cars.select("file_id", "car", "faulty", *[scaled(f, scaling[f]).alias(f) for f in features])
@@ -77,7 +81,7 @@ def fit_pairwise(cars: DataFrame, features: list[str], strength: float = 0.3) ->
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(signed).select("y", "features")
     n = rows.count()
     if not n:
-        raise ValueError("No case has a usable labelled car and a peer.")
+        raise NoPairs("No case has a usable labelled car and a peer.")
     fitted = LogisticRegression(labelCol="y", fitIntercept=False, standardization=False, maxIter=200,
                                 regParam=1.0 / (strength * n)).fit(rows)
     return model_table(cars.sparkSession, features, scaling, fitted.coefficients, 0.0)

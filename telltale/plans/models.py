@@ -105,12 +105,18 @@ def action_classifier(spark, sf_dir):
 
 
 def pairwise_ranking(spark, sf_dir):
-    """Cars ranked by a model of differences to the labelled car."""
+    """Cars ranked by a model of differences to the labelled car.
+
+    Where no case gives a pair to learn from, no car has a score: all are unknown and stand in the order of their ids.
+    """
     ranked = materialize(peers.ranked_features(cases.features(spark, sf_dir)).join(cases.faulty_cars(spark, sf_dir), "file_id"))
     feats = ["above_peer_fraction", "above_target_fraction"]
     train = ranked.where("available").withColumn("faulty", (F.col("car") == F.col("faulty_car")).cast("int"))
-    scored = learn.frozen_score(ranked, learn.fit_pairwise(train, feats)).withColumn(
-        "score", F.when(F.col("available"), F.round("score", 9)))
+    try:
+        scored = learn.frozen_score(ranked, learn.fit_pairwise(train, feats))
+    except learn.NoPairs:
+        scored = ranked.withColumn("score", F.lit(None).cast("double"))
+    scored = scored.withColumn("score", F.when(F.col("available"), F.round("score", 9)))
     placed = peers.ranked_cars(scored).join(cases.faulty_cars(spark, sf_dir), "file_id")
     return metrics.rank_decay(placed).select("file_id", "ranked_cars", "faulty_car", "true_car_rank", F.round("decay", 6).alias("decay"))
 

@@ -1,7 +1,10 @@
 """Ensembles, fold tables and the records a training leaves."""
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from telltale.operators import learn, validate
+from telltale.plans import models
 from telltale.sources import sinks
 
 
@@ -36,3 +39,14 @@ def test_training_records_and_new_content(spark, tmp_path):
     assert [r["sha256"] for r in learn.new_content(files, known).collect()] == ["h2"]
     pick = spark.createDataFrame([("a", 0.5, 0), ("b", 0.7, 1), ("c", 0.7, 2)], "name string, score double, place int")
     assert learn.select_candidate(pick).first()["name"] == "b"
+
+
+def test_cars_without_any_cooling_reading_stand_in_id_order(spark, tmp_path):
+    day = dt.datetime(1996, 1, 1)
+    lines = [(s, day + dt.timedelta(days=d), 10.0 + s, "R") for s in range(1, 9) for d in range(5)]
+    for name, rows, schema in (("lineitem", lines, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_returnflag string"),
+                               ("supplier", [(s, 0) for s in range(1, 9)], "s_suppkey long, s_nationkey int"),
+                               ("nation", [(0, 3)], "n_nationkey int, n_regionkey int")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = models.pairwise_ranking(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(3, "01|02|03|04|05|06|07|08", "01", 1, 1.0)]
