@@ -5,10 +5,13 @@ Here each stream is cut into chunks of its order (a span of time, or a run of de
 positions). A window works inside a chunk, a small table of chunk summaries carries
 the state across chunks, and a join on (stream, chunk) brings the carry back. The
 result is the same as the plain window; no task holds more than one chunk.
+
+Stream and chunk are one struct, `_part`. Its equality takes nulls as equal, so the
+join needs no other keys than the window and the rows are dealt out once for both.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from telltale.functions.columns import micros
 
@@ -39,6 +42,15 @@ def suggest_chunk_seconds(df: DataFrame, keys: list[str], ts: str, rows_per_chun
     return 3600
 
 
+def _parted(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    return df.withColumn("_part", F.struct(*keys, chunk.alias("_chunk")))
+
+
+def _across(keys: list[str]) -> WindowSpec:
+    """The chunks of each stream in order."""
+    return Window.partitionBy(*[F.col("_part").getField(k) for k in keys]).orderBy(F.col("_part").getField("_chunk"))
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
          lag: dict[str, Column] | None = None, lead: dict[str, Column] | None = None,
          total: dict[str, Column] | None = None, peak: dict[str, Column] | None = None,
@@ -55,14 +67,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
     fill, fill_next, seen = fill or {}, fill_next or {}, seen or {}
     if position:
         total = {**total, position: F.lit(1).cast("long")}
-    part = [*keys, "_chunk"]
-    rows = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*part).orderBy(*order)
+    rows = _parted(df, keys, chunk)
+    inside = Window.partitionBy("_part").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    across = _across(keys)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    later = across.rowsBetween(1, Window.unboundedFollowing)
     at = F.struct(*order)
 
     summary, carried, local, final = [], {}, {}, {}
@@ -71,7 +83,6 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
         record = F.struct(*[c.alias(n) for n, c in wanted.items()])
         pick = F.max_by if kind == "lag" else F.min_by
         summary.append(pick(record, at).alias(f"_s_{kind}"))
-        across = Window.partitionBy(*keys).orderBy("_chunk")
         step = F.lag if kind == "lag" else F.lead
         carried[f"_c_{kind}"] = step(f"_s_{kind}").over(across)
         local[f"_l_{kind}"] = step(record).over(inside)
@@ -109,13 +120,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
         local[f"_l_{n}"] = F.first(c, ignorenulls=True).over(onward)
         final[n] = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))
 
-    carry = rows.groupBy(*part).agg(*summary)
-    carry = carry.select(*part, *[c.alias(n) for n, c in carried.items()])
-    on = [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in part]
-    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in part], *carried)
-    found = rows.withColumns(local).join(carry, on, "left")
-    return found.withColumns(final).drop(
-        "_chunk", *local, *carried, *[f"_k_{k}" for k in part])
+    carry = rows.groupBy("_part").agg(*summary)
+    carry = carry.select(F.col("_part").alias("_of"), *[c.alias(n) for n, c in carried.items()])
+    found = rows.withColumns(local).join(carry, F.col("_part") == F.col("_of"), "left")
+    return found.withColumns(final).drop("_part", "_of", *local, *carried)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], chunk: Column, facts: dict[str, Column],
@@ -124,31 +132,29 @@ def islands(df: DataFrame, keys: list[str], order: list[str], chunk: Column, fac
 
     Both arguments are structs of the named facts.
     """
-    part = [*keys, "_chunk"]
-    inside = Window.partitionBy(*part).orderBy(*order)
+    inside = Window.partitionBy("_part").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cur = F.struct(*[c.alias(n) for n, c in facts.items()])
 
     def flag(before: Column, now: Column) -> Column:
         return F.when(before.isNotNull(), F.coalesce(is_break(before, now), F.lit(False)).cast("long")).otherwise(F.lit(0))
 
-    rows = df.withColumn("_chunk", chunk).withColumn("_cur", cur)
+    rows = _parted(df, keys, chunk).withColumn("_cur", cur)
     inner = rows.withColumn("_in", F.lag("_cur").over(inside))
     inner = inner.withColumn("_break", flag(F.col("_in"), F.col("_cur")))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    summary = inner.groupBy(*part).agg(
+    across = _across(keys)
+    summary = inner.groupBy("_part").agg(
         F.min_by("_cur", F.struct(*order)).alias("_first"), F.max_by("_cur", F.struct(*order)).alias("_last"),
         F.sum("_break").alias("_inner"))
     summary = summary.withColumn("_tail", F.lag("_last").over(across))
     summary = summary.withColumn("_head", flag(F.col("_tail"), F.col("_first")))
     summary = summary.select(
-        *[F.col(k).alias(f"_k_{k}") for k in part], "_tail",
+        F.col("_part").alias("_of"),
         (F.coalesce(F.sum("_inner").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
          + F.sum("_head").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias("_offset"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in part]
-    out = inner.withColumn("_local", F.sum("_break").over(upto)).join(summary, on, "left").withColumn(
+    out = inner.withColumn("_local", F.sum("_break").over(upto)).join(summary, F.col("_part") == F.col("_of"), "left").withColumn(
         name, F.col("_local") + F.col("_offset"))
-    return out.drop("_chunk", "_cur", "_in", "_break", "_local", "_tail", "_offset", *[f"_k_{k}" for k in part])
+    return out.drop("_part", "_of", "_cur", "_in", "_break", "_local", "_offset")
 
 
 def block_of(position: Column, n: Column, blocks: Column) -> Column:

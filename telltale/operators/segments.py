@@ -12,6 +12,8 @@ STREAM = ["stream_id"]
 ORDER = ["ts", "ord"]
 # Class names of an action.
 NORMAL, ABNORMAL = "Normal", "Abnormal resistance"
+# Readings of a stream whose actions may each meet in one row.
+GATHERED_ROWS = 100_000
 
 
 def stream_intervals(df: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
@@ -57,6 +59,66 @@ STATISTICS = ("mean", "std", "min", "max", "rms", "q10", "q50", "q90", "change",
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 
 
+def _quantile(ordered: Column, p: float) -> Column:
+    """Linear-interpolated quantile of a sorted array, as in `grouped_quantiles`; null for none."""
+    at = (F.size(ordered).cast("long") - 1) * F.lit(p)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _statistics(c: str) -> Column:
+    """The statistics of a channel whose last reading before a row is `_b_<channel>`."""
+    v, at = F.col(c), F.when(F.col(c).isNotNull(), F.struct(*ORDER))
+    step = F.avg(F.abs(v - F.col(f"_b_{c}")))
+    plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+             F.sqrt(F.avg(v * v)).alias("rms"), (F.max_by(v, at) - F.min_by(v, at)).alias("change"),
+             F.when(F.count(v) > 0, F.coalesce(step, F.lit(0.0))).alias("variation")]
+    return F.struct(*plain)
+
+
+def _gathered(rows: DataFrame, channels: list[str], facts: list[Column]) -> DataFrame:
+    """One shuffle for all statistics; the readings of an action meet in one row."""
+    keys = [*STREAM, "segment"]
+    before = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.withColumns({f"_b_{c}": F.last(c, ignorenulls=True).over(before) for c in channels})
+    wide = steps.groupBy(*keys).agg(*facts, *[_statistics(c).alias(f"_s_{c}") for c in channels],
+                                    *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_v_{c}") for c in channels])
+    return wide.withColumns({f"_s_{c}": F.struct(f"_s_{c}.*", *[_quantile(F.col(f"_v_{c}"), p).alias(q) for q, p in QUANTILES.items()])
+                             for c in channels}).drop(*[f"_v_{c}" for c in channels])
+
+
+def _chunked(rows: DataFrame, channels: list[str], chunk_seconds: int, facts: list[Column]) -> DataFrame:
+    """The same for actions of any length: chunked scans and selected quantiles."""
+    keys = [*STREAM, "segment"]
+    steps = scan(rows, keys, ORDER, time_chunk("ts", chunk_seconds), seen={f"_b_{c}": F.col(c) for c in channels})
+    wide = steps.groupBy(*keys).agg(*facts, *[_statistics(c).alias(f"_s_{c}") for c in channels])
+    cells = rows.unpivot([*keys, *ORDER], channels, "channel", "v")
+    spread = grouped_quantiles(cells, [*keys, "channel"], "v", QUANTILES).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("channel") == c, F.struct(*QUANTILES))).alias(f"_q_{c}") for c in channels])
+    return wide.join(spread, keys, "left").withColumns({
+        f"_s_{c}": F.struct(f"_s_{c}.*", *[F.col(f"_q_{c}")[q].alias(q) for q in QUANTILES]) for c in channels}).drop(
+        *[f"_q_{c}" for c in channels])
+
+
+def _action_table(segmented: DataFrame, channels: list[str], states: list[str], chunk_seconds: int, facts: list[Column]) -> DataFrame:
+    """A row per action: `facts`, and one struct of statistics per channel (`_s_<channel>`; null where the stream has no name).
+
+    An action is no longer than its stream. Streams of at most `GATHERED_ROWS` readings are gathered action by action,
+    the others go through chunks.
+    """
+    # Cutting a stream costs a shuffle; the steps below read the cut rows instead of repeating it.
+    rows = materialize(segmented.select(*STREAM, "segment", *ORDER, *channels, *states))
+    busy = materialize(rows.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GATHERED_ROWS).select(
+        F.struct(*STREAM).alias("_busy")))
+    if busy.isEmpty():
+        wide = _gathered(rows, channels, facts)
+    else:  # one row for each `GATHERED_ROWS` readings at most
+        named, own = F.broadcast(busy), F.struct(*STREAM) == F.col("_busy")
+        wide = _gathered(rows.join(named, own, "left_anti"), channels, facts).unionByName(
+            _chunked(rows.join(named, own, "left_semi"), channels, chunk_seconds, facts))
+    return wide.withColumns({f"_s_{c}": F.when(F.col("stream_id").isNotNull(), F.col(f"_s_{c}")) for c in channels})
+
+
 def action_features(segmented: DataFrame, channels: list[str], chunk_seconds: int = DAY) -> DataFrame:
     """Ten statistics per action and channel, missing readings left out.
 
@@ -64,39 +126,24 @@ def action_features(segmented: DataFrame, channels: list[str], chunk_seconds: in
     change from first to last reading and the mean absolute step.
     """
     keys = [*STREAM, "segment"]
-    # Cutting a stream costs a shuffle; the steps below read the cut rows instead of repeating it.
-    rows = materialize(segmented.select(*keys, *ORDER, *channels))
-    steps = scan(rows, keys, ORDER, time_chunk("ts", chunk_seconds), seen={f"_b_{c}": F.col(c) for c in channels})
-    order = F.struct(*ORDER)
-
-    def statistics(c: str) -> Column:
-        v, at = F.col(c), F.when(F.col(c).isNotNull(), order)
-        step = F.avg(F.abs(v - F.col(f"_b_{c}")))
-        plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-                 F.sqrt(F.avg(v * v)).alias("rms"), (F.max_by(v, at) - F.min_by(v, at)).alias("change"),
-                 F.when(F.count(v) > 0, F.coalesce(step, F.lit(0.0))).alias("variation")]
-        return F.struct(F.lit(c).alias("channel"), *plain)
-
-    wide = steps.groupBy(*keys).agg(*[statistics(c).alias(f"_s_{c}") for c in channels])
-    long = wide.select(*keys, F.explode(F.array(*[F.col(f"_s_{c}") for c in channels])).alias("_s")).select(*keys, "_s.*")
-    long = long.where(F.col("mean").isNotNull())
-    cells = rows.unpivot([*keys, *ORDER], channels, "channel", "v")
-    spread = grouped_quantiles(cells, [*keys, "channel"], "v", QUANTILES).drop("n")
-    return long.join(spread, [*keys, "channel"]).select(*keys, "channel", *STATISTICS)
+    wide = _action_table(segmented, channels, [], chunk_seconds, [])
+    long = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), f"_s_{c}.*") for c in channels])).alias("_s"))
+    return long.select(*keys, "_s.*").where(F.col("mean").isNotNull()).select(*keys, "channel", *STATISTICS)
+
+
+def _state_facts(states: list[str]) -> list[Column]:
+    return [seconds_between(F.min("ts"), F.max("ts")).alias("duration_seconds"), *[F.avg(s).alias(f"{s}_fraction") for s in states]]
 
 
 def state_fractions(segmented: DataFrame, states: list[str]) -> DataFrame:
-    return segmented.groupBy(*STREAM, "segment").agg(
-        seconds_between(F.min("ts"), F.max("ts")).alias("duration_seconds"),
-        *[F.avg(s).alias(f"{s}_fraction") for s in states])
+    return segmented.groupBy(*STREAM, "segment").agg(*_state_facts(states))
 
 
-def action_matrix(segmented: DataFrame, channels: list[str], states: list[str]) -> DataFrame:
+def action_matrix(segmented: DataFrame, channels: list[str], states: list[str], chunk_seconds: int = DAY) -> DataFrame:
     """Wide feature row per action for the learned operators."""
-    long = action_features(segmented, channels)
-    wide = long.groupBy(*STREAM, "segment").agg(*[
-        F.max(F.when(F.col("channel") == c, F.col(s))).alias(f"{c}_{s}") for c in channels for s in STATISTICS])
-    return state_fractions(segmented, states).join(wide, [*STREAM, "segment"], "left")
+    wide = _action_table(segmented, channels, states, chunk_seconds, _state_facts(states))
+    return wide.select(*STREAM, "segment", "duration_seconds", *[f"{s}_fraction" for s in states],
+                       *[F.col(f"_s_{c}")[s].alias(f"{c}_{s}") for c in channels for s in STATISTICS])
 
 
 def blocked_folds(actions: DataFrame, folds: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from telltale.functions import ordered
 from telltale.operators import (catalog, clean, cycles, dedupe, forest, geo, learn, metrics, orders, peers, reference,
                                 reports, segments, status, text, trace, validate, waveform)
 
@@ -451,3 +452,42 @@ def test_a_recording_without_scores_has_no_class(spark):
             ("d", "side_i", -1.0), ("d", "side_ii", -2.0)]
     got = dict(forest.side_classes(spark.createDataFrame(rows, "file_id string, component string, score double")).collect())
     assert got == {"a": None, "b": "Side I", "c": "Side II", "d": "Normal"}
+
+
+def test_rows_of_a_scan_are_dealt_out_once(spark):
+    df = spark.range(50).selectExpr("IF(id % 5 = 0, NULL, id % 5) AS stream_id", "timestamp_seconds(id * 40000) AS ts", "id AS ord", "id AS v")
+    plans = [ordered.scan(df, ["stream_id"], ["ts", "ord"], ordered.time_chunk("ts"), lag={"b": F.col("v")}), segments.segment_stream(df, 90_000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in plans:
+            assert "SortMergeJoin [_part" in out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = {r["ord"]: r["b"] for r in plans[0].collect()}
+    assert len(found) == 50 and all(found[i] == (i - 5 if i >= 5 else None) for i in range(50))
+
+
+def test_actions_gathered_whole_equal_those_in_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(None if i % 9 == 0 else f"s{i % 4}", at + dt.timedelta(hours=i // 4 + (300 if i > 200 else 0)), i, rng.choice([None, 1.5, rng.gauss(0, 3)]),
+             None if i % 4 == 1 else float(i % 11), float(i % 2)) for i in range(400)]
+    cut = segments.segment_stream(spark.createDataFrame(rows, "stream_id string, ts timestamp, ord long, a double, b double, on double"), 90_000.0)
+
+    def run():
+        long = segments.action_features(cut, ["a", "b"]).collect()
+        wide = segments.action_matrix(cut, ["a", "b"], ["on"]).collect()
+        return [sorted(tuple(str(round(v, 9) if isinstance(v, float) else v) for v in r) for r in rows) for rows in (long, wide)]
+
+    plain = run()
+    assert len(plain[0]) == 14 and len(plain[1]) == 10 and all(r[0] != "None" for r in plain[0])
+    for limit in (0, 80):  # all streams through chunks, some
+        monkeypatch.setattr(segments, "GATHERED_ROWS", limit)
+        assert run() == plain
+
+
+def test_few_readings_write_no_table_of_distinct_values(spark, monkeypatch):
+    rows = [("s", dt.datetime(2024, 1, 1, 0, i), i, float(i)) for i in range(9)]
+    cut = segments.segment_stream(spark.createDataFrame(rows, "stream_id string, ts timestamp, ord long, a double"), 90.0)
+    monkeypatch.setattr(segments, "grouped_quantiles", None)
+    assert [(r["q10"], r["q50"], r["q90"]) for r in segments.action_features(cut, ["a"]).collect()] == [(0.8, 4.0, 7.2)]
