@@ -68,3 +68,17 @@ def test_few_groups_are_refused(spark):
     one = df.where("g = 1")
     assert nested.left_out_errors(one, "g", "y", {"a": (["a"], 1.0)}).count() == 0
     assert nested.left_out_errors(one.where("false"), "g", "y", {"a": (["a"], 1.0)}).count() == 0
+
+
+def test_pairs_on_tiles_equal_single_fits():
+    rows = rows_of(7, 5)
+    features = ["a", "flat"]
+    names = sorted({r["g"] for r in rows})
+    v = {g: np.array([[r[f] for f in (*features, "y")] for r in rows if r["g"] == g]) - [5, 7, 1000] for g in names}
+    s = np.array([[len(x), *x.sum(axis=0), *(x.T @ x)[np.triu_indices(3)]] for x in v.values()])
+    for used, penalty in (([], 0.0), ([0], 1.0), ([1], 1.0), ([0, 1], 2.0)):
+        right, left = nested._pair_errors(s[:4], s[4:], s.sum(axis=0), 3, used, penalty, None)
+        for i in range(4):
+            for j in range(3):
+                want = [slow_error(rows, {names[i], names[4 + j]}, g, [features[k] for k in used], penalty) for g in (names[4 + j], names[i])]
+                assert np.allclose([right[i, j], left[i, j]], want)
