@@ -1,5 +1,9 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
+First come SimHash fingerprints of the five-word shingles: `simhash.links` finds, by anchors of perfect Hamming codes, all fingerprints
+that differ in three bits at most. Texts of one fingerprint meet the smallest of them, and a fingerprint its smallest and its largest
+neighbour. That brings most copies together; similarities down to 0.8 mean up to eleven bits, so keys of minima find what is left.
+
 Every distinct text gets 150 minima of its shingles' hashes, cut into 30 keys of five. Two texts share a key with
 probability s ** 5 at similarity s, so a pair at exactly 0.8 has none with probability 7e-6, and one at 0.9 with 1e-12.
 Texts that share a key are candidates; a link is made only if the two whole shingle sets pass the exact comparison.
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telltale.llm.common import in_batches, texts
-from telltale.llm.simhash import SEED, components
+from telltale.llm.simhash import SEED, components, hashes, links as fingerprint_links, majority
 from telltale.session import materialize
 
 SHINGLE = 5
@@ -39,14 +43,7 @@ FACTORS = np.random.default_rng(SEED).integers(0, 2 ** 31, KEYS * MINIMA, dtype=
 
 def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the shingles."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    last = max(1, len(words) - shingle + 1)
-    starts = [0, *ends[:last - 1].tolist()]
-    stops = (ends[min(shingle, len(words)) - 1:][:last] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64))
+    return np.unique(hashes(words, shingle))
 
 
 def keys(hashes: np.ndarray) -> list[int]:
@@ -61,20 +58,22 @@ def keys(hashes: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """_k, _h, doc_id, the node (hash of the words in lower case), number of distinct shingles, keys."""
+    """_k, _h, doc_id, the node (hash of the words in lower case), number of distinct shingles, fingerprint, keys."""
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, sizes, found = [], [], []
+        nodes, sizes, prints, found = [], [], [], []
         for text in texts(batch):
             words = text.lower().split()
-            own = shingles(words, shingle)
+            every = hashes(words, shingle)
+            own = np.unique(every)
+            prints.append(majority(every))
             nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
             sizes.append(len(own))
             found.append(keys(own))
         return {c: batch.column(c) for c in ("doc_id", "_k", "_h")} | {
-            "node": np.array(nodes, dtype=np.uint64).view(np.int64), "size": sizes, "keys": found}
+            "node": np.array(nodes, dtype=np.uint64).view(np.int64), "size": sizes, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "keys": found}
 
     return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_k", "_h"), run,
-                      "doc_id long, _k long, _h long, node long, size int, keys array<bigint>")
+                      "doc_id long, _k long, _h long, node long, size int, fp long, keys array<bigint>")
 
 
 def _alike(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -116,23 +115,37 @@ def _sizes_near(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates a, b with their sizes: texts of one fingerprint, then of fingerprints within three bits; at most two for each text."""
+    first = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("own")))
+    equal = nodes.join(first, "fp").where("node != own.node").select(
+        F.col("own.node").alias("a"), F.col("node").alias("b"), F.col("own.size").alias("a_size"), F.col("size").alias("b_size"))
+    near = materialize(fingerprint_links(first.select("fp"))).groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    ends = near.select("fp", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).join(first, "fp").withColumnRenamed("own", "mine")
+    close = ends.join(first.toDF("other", "own"), "other").select(
+        F.col("own.node").alias("a"), F.col("mine.node").alias("b"), F.col("own.size").alias("a_size"), F.col("mine.size").alias("b_size"))
+    return equal.union(close)
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _k, _h, node) and labels (node, label): the groups of linked texts. Input needs _k and _h."""
     rows = materialize(_described(docs, shingle))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rank"), F.any_value("size").alias("size"),
-                                                 F.any_value("keys").alias("keys")))
+                                                 F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")))
     ranked = nodes.select("node", "rank")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("pivot")).where(
         "n > 1").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
     met = materialize(members.join(shared, "key"))
-    labels, links = ranked.select("node", F.col("node").alias("label")), None
+    close = materialize(_by_fingerprint(nodes.select("node", "size", "fp")).where(_sizes_near("a_size", "b_size", similarity)).select("a", "b"))
+    links = _checked(close, rows, docs, similarity, shingle)
+    labels = materialize(components(ranked, links, named_by_node=True))
     for chosen in (F.min, F.max, None):
         pairs = met.join(labels, "node").join(labels.toDF("pivot", "pivot_label"), "pivot").where(
             (F.col("label") != F.col("pivot_label")) & _sizes_near("size", "pivot_size", similarity))
         pairs = pairs.select("node", "pivot").distinct() if chosen is None else pairs.groupBy("node").agg(chosen("pivot").alias("pivot"))
         found = _checked(materialize(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), rows, docs, similarity, shingle)
-        links = found if links is None else materialize(links.union(found))
+        links = materialize(links.union(found))
         labels = materialize(components(ranked, links, named_by_node=True))
     # What is in another group than its key's pivot meets one more pivot of each of `PIVOTS` parts of the key. Keys of the same crowd
     # have the same pivots, so a crowd comes together in a few links per member.

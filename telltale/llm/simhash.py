@@ -33,20 +33,28 @@ THRESHOLD = 3
 SHINGLE = 3
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit b is set if it is set in more than half of the shingles' hashes (repeats included)."""
-    words = text.lower().split()  # of bytes: only A-Z change
+def hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle in order, repeats included; one of the whole sequence if it is shorter."""
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     last = max(1, len(words) - shingle + 1)
     starts = [0, *ends[:last - 1].tolist()]
     stops = (ends[min(shingle, len(words)) - 1:][:last] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def majority(found: np.ndarray) -> int:
+    """Bit b is set if it is set in more than half of the hashes; 0 without any."""
+    bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bit b is set if it is set in more than half of the shingles' hashes (repeats included)."""
+    return majority(hashes(text.lower().split(), shingle))  # of bytes: only A-Z change
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

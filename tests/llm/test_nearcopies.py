@@ -65,3 +65,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     # 2 is 1 again, 4 and 5 have no words like 3, 8 differs from 7 in case only, 9 and the null id repeat.
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [1, -5, 3, 6, 7, 9, 10, 11, 12, None]))
     assert nearcopies.representatives(no_docs).count() == 0
+
+
+def test_fingerprints_within_three_bits_are_candidates(spark):
+    rows = [(1, 10, 0), (2, 11, 0), (3, 12, 0b111), (4, 13, 0b1111 << 40), (5, 14, 0b11 << 40)]
+    found = nearcopies._by_fingerprint(spark.createDataFrame(rows, "node long, size int, fp long")).collect()
+    fps = {n: fp for n, _, fp in rows}
+    assert {frozenset((r.a, r.b)) for r in found} == {frozenset(p) for p in ((1, 2), (1, 3), (1, 5), (4, 5))}
+    assert all((fps[r.a] ^ fps[r.b]).bit_count() <= 3 and r.a_size == r.a + 9 and r.b_size == r.b + 9 for r in found)
