@@ -7,6 +7,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+ENTRIES = 1_000_000  # of a sparse table that are spread out at a time
+
+
 def per_class(labels: DataFrame, label: str, bound: int, keep: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
     """doc_id and label of about `bound` labelled rows of each class, and the rows there are of each class.
 
@@ -44,17 +47,38 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic_sparse(starts: np.ndarray, places: np.ndarray, values: np.ndarray, width: int, labels: np.ndarray,
-                    weights: np.ndarray, l2: float, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on rows of (place, value) pairs by accelerated gradient descent; row i is starts[i]:starts[i+1]."""
-    n = len(labels)
-    rows = np.repeat(np.arange(n), np.diff(starts))
-    squared = np.bincount(rows, values ** 2, minlength=n) + 1
+def logistic_sparse(starts: np.ndarray, places: np.ndarray, scale: np.ndarray, labels: np.ndarray, weights: np.ndarray, l2: float,
+                    rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent; row i has the places starts[i]:starts[i+1], each with its `scale` as value.
+
+    Beside the places themselves only vectors over rows or places are held, and the entries of `ENTRIES` places at a time.
+    """
+    n, width = len(labels), len(scale)
+    blocks, first = [], 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + ENTRIES, side="right")) - 1)
+        blocks.append((first, last))
+        first = last
+
+    def per_row(value: np.ndarray) -> np.ndarray:
+        out = np.empty(n)
+        for a, b in blocks:
+            some = value[places[starts[a]:starts[b]]]
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), np.diff(starts[a:b + 1])), some, minlength=b - a)
+        return out
+
+    def per_place(value: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a, b in blocks:
+            out += np.bincount(places[starts[a]:starts[b]], np.repeat(value[a:b], np.diff(starts[a:b + 1])), minlength=width)
+        return out * scale
+
+    squared = per_row(scale ** 2) + 1
     step = 4 / (float((squared * weights).mean()) + l2)
     w, b = np.zeros(width), float(np.log((weights @ labels + 1) / (weights @ (1 - labels) + 1)))
     vw, vb, last = w.copy(), b, np.inf
     for t in range(rounds):
-        z = np.bincount(rows, vw[places] * values, minlength=n) + vb
+        z = per_row(vw * scale) + vb
         gap = weights * (sigmoid(z) - labels) / n
         loss = float(weights @ np.logaddexp(0, np.where(labels == 1, -z, z))) / n + l2 / 2 * float(vw @ vw)
         if loss > last * 1.5:  # too large a step
@@ -62,7 +86,7 @@ def logistic_sparse(starts: np.ndarray, places: np.ndarray, values: np.ndarray,
             last = np.inf
             continue
         last = loss
-        nw = vw - step * (np.bincount(places, gap[rows] * values, minlength=width) + l2 * vw)
+        nw = vw - step * (per_place(gap) + l2 * vw)
         nb = vb - step * float(gap.sum())
         push = t / (t + 3)
         vw, vb = nw + push * (nw - w), nb + push * (nb - b)

@@ -92,12 +92,15 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, bound: i
         found = [place[p][place[p] >= 0].tobytes() for p in map(present, texts(batch))]
         return {"label": batch.column("label"), "places": found, "doc_id": batch.column("doc_id")}
 
-    got = in_batches(sample, rows, "doc_id long, label int, places binary").orderBy("doc_id").collect()
-    places = [np.frombuffer(r["places"], np.int32) for r in got]
-    y = np.array([r["label"] for r in got])
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-    flat = np.concatenate(places) if places else np.empty(0, np.int32)
-    w, bias = learn.logistic_sparse(starts, flat, ratio[chosen][flat], len(chosen), y, learn.class_weights(y, counts), l2=1e-3)
+    found, y, ends = [], [], [0]
+    for r in in_batches(sample, rows, "doc_id long, label int, places binary").orderBy("doc_id").toLocalIterator():
+        found.append(np.frombuffer(r["places"], np.int32))
+        y.append(r["label"])
+        ends.append(ends[-1] + len(found[-1]))
+    flat, y = np.empty(ends[-1], np.int32), np.array(y)
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        flat[a:b], found[i] = found[i], None
+    w, bias = learn.logistic_sparse(np.array(ends), flat, ratio[chosen], y, learn.class_weights(y, counts), l2=1e-3)
     weights = np.zeros(SLOTS, np.float32)
     weights[chosen] = w * ratio[chosen]
     return Model(weights, bias)

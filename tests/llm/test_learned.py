@@ -430,3 +430,23 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
 
 def test_queries_are_registered():
     assert [n for n in QUERIES] and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14))
+
+
+def test_a_sparse_fit_holds_few_entries_at_a_time(monkeypatch):
+    import tracemalloc
+
+    from telltale.llm import learn
+    draw = np.random.default_rng(3)
+    lengths = draw.integers(0, 60, 400)
+    starts, places = np.concatenate([[0], np.cumsum(lengths)]), draw.integers(0, 50, lengths.sum()).astype(np.int32)
+    scale, y = draw.normal(size=50), draw.integers(0, 2, 400)
+    whole = learn.logistic_sparse(starts, places, scale, y, np.ones(400), 1e-3)
+    monkeypatch.setattr(learn, "ENTRIES", 100)
+    parts = learn.logistic_sparse(starts, places, scale, y, np.ones(400), 1e-3)
+    assert np.allclose(whole[0], parts[0]) and np.isclose(whole[1], parts[1])
+    monkeypatch.setattr(learn, "ENTRIES", 10_000)
+    starts, places = np.arange(0, 4_000_001, 1000), np.zeros(4_000_000, np.int32)
+    tracemalloc.start()
+    learn.logistic_sparse(starts, places, np.ones(1), np.arange(4000) % 2, np.ones(4000), 1e-3, rounds=2)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000  # two bytes an entry
+    tracemalloc.stop()
