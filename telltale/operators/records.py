@@ -10,6 +10,8 @@ are not finite become null. Rows may repeat; each is a record of its own.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telltale.operators.text import HIDDEN_KEY, REDACTED, SENSITIVE_KEY, redact_text
@@ -26,6 +28,7 @@ NESTED_TEXT = "[nested details omitted]"
 # Escaped backslashes and quotes become control characters, which no JSON string holds as they
 # are; after that a string ends at the next quote.
 SLASH, QUOTE = "\x01", "\x02"
+TASK_BYTES = 2_000_000  # of records in one task
 TOKEN = r'"[^"]*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
 KEEP, WITHHOLD, DROP = 0, 1, 2
 
@@ -56,8 +59,11 @@ def _tokens(records: DataFrame, text: str, keys: list[str]) -> DataFrame:
     rows = records.select(F.struct(*keys).alias("keys"), F.monotonically_increasing_id().alias("rec"), found.alias("found"))
     rows = rows.select("rec", F.when(F.lit(True), F.col("keys")).alias("keys"), F.posexplode_outer("found").alias("pos", "mark"))
     token = F.replace(F.replace("mark", F.lit(SLASH), F.lit("\\\\")), F.lit(QUOTE), F.lit('\\"'))
+    # A token costs far more than its bytes in the orderings that follow, so a task gets a bounded share of the text.
+    size = records.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    places = max(records.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
     # The columns of the caller travel with the first token only.
-    return rows.select("rec", F.coalesce("pos", F.lit(0)).alias("pos"), token.alias("tok"),
+    return rows.repartition(places, "rec").select("rec", F.coalesce("pos", F.lit(0)).alias("pos"), token.alias("tok"),
                        F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("keys")).alias("keys"))
 
 

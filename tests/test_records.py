@@ -103,3 +103,11 @@ def test_records_without_a_value_and_repeated_rows(spark):
     assert records.redact_records(df.limit(0), "t", ["id"]).count() == 0
     cut = records.bounded_records(df, "t", ["id"]).where("id = 6").first()["summary"]
     assert json.loads(cut) == ("x\n" * 500) + "… [text truncated]"
+
+
+def test_a_task_gets_a_bounded_share_of_the_text(spark, monkeypatch):
+    from telltale.operators import records
+    df = spark.createDataFrame([(i, '{"a": "' + "x" * 100 + '"}') for i in range(90)], "id int, text string").coalesce(1)
+    monkeypatch.setattr(records, "TASK_BYTES", 200)
+    tokens = records._tokens(df, "text", ["id"])
+    assert tokens.rdd.getNumPartitions() == 50 and tokens.count() == 90 * 5
