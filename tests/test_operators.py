@@ -491,3 +491,19 @@ def test_few_readings_write_no_table_of_distinct_values(spark, monkeypatch):
     cut = segments.segment_stream(spark.createDataFrame(rows, "stream_id string, ts timestamp, ord long, a double"), 90.0)
     monkeypatch.setattr(segments, "grouped_quantiles", None)
     assert [(r["q10"], r["q50"], r["q90"]) for r in segments.action_features(cut, ["a"]).collect()] == [(0.8, 4.0, 7.2)]
+
+
+def test_rows_in_blocks_go_down_every_tree(monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
+    draw = np.random.default_rng(2)
+    grown = forest.pd.concat([forest._grow(forest.pd.DataFrame({"component": "a", "tree": t, "x": list(draw.normal(size=(40, 3)))}), 1) for t in range(6)])
+    x = np.concatenate([draw.normal(size=(30, 3)), [[np.inf, -np.inf, 0.0]]])
+
+    def depth(r, v):
+        node = 0
+        while r["feature"][node] >= 0:
+            node = r["below"][node] if v[r["feature"][node]] <= r["threshold"][node] else r["above"][node]
+        return r["depth"][node]
+
+    want = [2.0 ** (-sum(depth(r, v) for _, r in grown.iterrows()) / 6 / forest.path_norm(40)) for v in x]
+    assert np.allclose(forest._raw(*forest._arrays(grown), x), want)
