@@ -12,7 +12,9 @@ A crowd of near copies does not pair up: in each key the smallest member is the
 the smallest of its pivots first, then, if it is in another group than one of them, with the largest such, and then with all such.
 Groups are components of those links. What a pivot left apart is compared with `PIVOTS` more members, the smallest of as many
 parts of the key, and what is apart even then with every member of its key that is in another group. So no pair that
-could join two groups is left out, and no pair within a group is formed.
+could join two groups is left out, and no pair within a group is formed. Texts are fetched and compared only for pairs that a sketch
+leaves: the parities of a set's shingles in 2,048 places differ in no more bits than the sets in shingles, so it rules out only
+pairs below the similarity. The last step tests it within its join, so a crowd of texts that are no copies makes few rows.
 
 Defined results: words and lower case are those of the fingerprints (bytes, only A-Z change). With fewer words than a shingle
 the whole sequence is the only shingle. A null text counts as empty; texts without words are copies of one another.
@@ -37,6 +39,7 @@ SIMILARITY = 0.8
 KEYS = 30
 MINIMA = 5  # of one key
 PIVOTS = 8
+SKETCH = 32  # longs of a shingle set's parities
 CACHED = 64  # shingle sets that a worker keeps while it compares
 FACTORS = np.random.default_rng(SEED).integers(0, 2 ** 31, KEYS * MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
@@ -57,10 +60,19 @@ def keys(hashes: np.ndarray) -> list[int]:
     return np.array(found, dtype=np.uint64).view(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * `SKETCH` places, dealt by hash, a bit: whether an odd number of the shingles lies there.
+
+    A shingle that only one of two sets has changes one bit, so the sets differ in as many shingles as bits at least.
+    """
+    places = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((places & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """_k, _h, doc_id, the node (hash of the words in lower case), number of distinct shingles, fingerprint, keys."""
+    """_k, _h, doc_id, the node (hash of the words in lower case), number of distinct shingles, fingerprint, keys, parities."""
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, sizes, prints, found = [], [], [], []
+        nodes, sizes, prints, found, odd = [], [], [], [], []
         for text in texts(batch):
             words = text.lower().split()
             every = hashes(words, shingle)
@@ -69,11 +81,12 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
             nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
             sizes.append(len(own))
             found.append(keys(own))
+            odd.append(parities(own).tolist())
         return {c: batch.column(c) for c in ("doc_id", "_k", "_h")} | {
-            "node": np.array(nodes, dtype=np.uint64).view(np.int64), "size": sizes, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "keys": found}
+            "node": np.array(nodes, dtype=np.uint64).view(np.int64), "size": sizes, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "keys": found, "odd": odd}
 
     return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_k", "_h"), run,
-                      "doc_id long, _k long, _h long, node long, size int, fp long, keys array<bigint>")
+                      "doc_id long, _k long, _h long, node long, size int, fp long, keys array<bigint>, odd array<bigint>")
 
 
 def _alike(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -115,6 +128,22 @@ def _sizes_near(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
 
 
+def _could_be_alike(a: str, b: str, similarity: float) -> Column:
+    """False only if the sizes or parities (`a`_size, `a`_odd) show that the similarity is missed; no pair that reaches it is lost.
+
+    Two sets of x and y shingles that reach s differ in (x + y) * (1 - s) / (1 + s) shingles at most.
+    """
+    bits = F.aggregate(F.zip_with(f"{a}_odd", f"{b}_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    most = (F.col(f"{a}_size") + F.col(f"{b}_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return _sizes_near(f"{a}_size", f"{b}_size", similarity) & (bits <= most)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b that sizes and parities leave, before their texts are fetched."""
+    left, right = (sketches.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("odd").alias(f"{s}_odd")) for s in "ab")
+    return materialize(pairs.join(left, "a").join(right, "b").where(_could_be_alike("a", "b", similarity)).select("a", "b"))
+
+
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Candidates a, b with their sizes: texts of one fingerprint, then of fingerprints within three bits; at most two for each text."""
     first = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("own")))
@@ -131,12 +160,13 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
     """Rows (doc_id, _k, _h, node) and labels (node, label): the groups of linked texts. Input needs _k and _h."""
     rows = materialize(_described(docs, shingle))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rank"), F.any_value("size").alias("size"),
-                                                 F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")))
+                                                 F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("odd").alias("odd")))
     ranked = nodes.select("node", "rank")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("pivot")).where(
         "n > 1").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
     met = materialize(members.join(shared, "key"))
+    sketches = materialize(nodes.select("node", "size", "odd").join(met.select("node").distinct(), "node", "left_semi"))
     close = materialize(_by_fingerprint(nodes.select("node", "size", "fp")).where(_sizes_near("a_size", "b_size", similarity)).select("a", "b"))
     links = _checked(close, rows, docs, similarity, shingle)
     labels = materialize(components(ranked, links, named_by_node=True))
@@ -144,7 +174,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
         pairs = met.join(labels, "node").join(labels.toDF("pivot", "pivot_label"), "pivot").where(
             (F.col("label") != F.col("pivot_label")) & _sizes_near("size", "pivot_size", similarity))
         pairs = pairs.select("node", "pivot").distinct() if chosen is None else pairs.groupBy("node").agg(chosen("pivot").alias("pivot"))
-        found = _checked(materialize(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), rows, docs, similarity, shingle)
+        pairs = materialize(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        found = _checked(_possible(pairs, sketches, similarity), rows, docs, similarity, shingle)
         links = materialize(links.union(found))
         labels = materialize(components(ranked, links, named_by_node=True))
     # What is in another group than its key's pivot meets one more pivot of each of `PIVOTS` parts of the key. Keys of the same crowd
@@ -156,16 +187,20 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
         "key", F.col("p.node").alias("node"), F.col("p.size").alias("size")).join(labels, "node")
     between = materialize(apart.join(pivots, "key").where((F.col("label") != F.col("x_label")) & _sizes_near("size", "x_size", similarity)).select(
         F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    links = materialize(links.union(_checked(between, rows, docs, similarity, shingle)))
+    links = materialize(links.union(_checked(_possible(between, sketches, similarity), rows, docs, similarity, shingle)))
     labels = materialize(components(ranked, links, named_by_node=True))
-    # What still is in another group than its key's pivot meets the members of the key that are in other groups than itself.
+    # What still is in another group than its key's pivot meets the members of the key that are in other groups than itself and
+    # that its sizes and parities do not rule out.
     labelled = met.join(labels, "node").join(labels.toDF("pivot", "pivot_label"), "pivot")
-    apart = materialize(labelled.where("label != pivot_label").select("key", F.col("node").alias("x"), F.col("size").alias("x_size"),
-                                                                     F.col("label").alias("x_label")))
+    odd = sketches.select("node", "odd")
+    apart = materialize(labelled.where("label != pivot_label").join(odd, "node").select(
+        "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "label", "odd")]))
     mixed = apart.select("key").distinct()
-    others = materialize(labelled.where("node != pivot").join(mixed, "key", "left_semi").select("key", "node", "size", "label"))
-    second = materialize(apart.join(others, "key").where((F.col("label") != F.col("x_label")) & _sizes_near("size", "x_size", similarity)).select(
-        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+    others = materialize(labelled.where("node != pivot").join(mixed, "key", "left_semi").join(odd, "node").select(
+        "key", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "label", "odd")]))
+    meet = (F.col("x_label") != F.col("y_label")) & _could_be_alike("x", "y", similarity)
+    second = materialize(apart.join(others, (apart["key"] == others["key"]) & meet).select(
+        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
     more = _checked(second, rows, docs, similarity, shingle)
     return rows, materialize(components(ranked, links.union(more), named_by_node=True))
 

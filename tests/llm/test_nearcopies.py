@@ -1,6 +1,8 @@
 """Near copies of the pipeline against the Jaccard similarity of all pairs."""
 import random
 
+import numpy as np
+
 from telltale.llm import nearcopies
 
 import corpus_pipeline
@@ -73,3 +75,23 @@ def test_fingerprints_within_three_bits_are_candidates(spark):
     fps = {n: fp for n, _, fp in rows}
     assert {frozenset((r.a, r.b)) for r in found} == {frozenset(p) for p in ((1, 2), (1, 3), (1, 5), (4, 5))}
     assert all((fps[r.a] ^ fps[r.b]).bit_count() <= 3 and r.a_size == r.a + 9 and r.b_size == r.b + 9 for r in found)
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles():
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 40, 400, 5000):
+        x = np.unique(draw.integers(0, 2 ** 63, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[size // 5:], draw.integers(0, 2 ** 63, size // 7, dtype=np.uint64)]))
+        bits = int(np.bitwise_count((nearcopies.parities(x) ^ nearcopies.parities(y)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(x, y)) and (bits > 0) == (size > 1)
+
+
+def test_a_crowd_of_texts_that_are_no_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(500)}" for _ in range(200)]
+    rows = [(i, " ".join(base + [f"v{draw.randrange(5000)}" for _ in range(60)])) for i in range(80)]
+    compared, plain = [], nearcopies._alike
+    monkeypatch.setattr(nearcopies, "_alike", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    out = nearcopies.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == slow_kept(rows) == list(range(80))
+    assert sum(compared) <= 80  # 3,160 pairs, nearly all of them with a key in common
