@@ -73,13 +73,19 @@ def _keys(line: Column, length: Column, threshold: int) -> dict[str, Column]:
     return out
 
 
-def _letters(line: Column) -> Column:
-    """The counts of eleven letters, modulo 32, in one long; its top bits are 0."""
-    out = F.lit(0).cast("long")
+def _with_letters(rows: DataFrame, line: str) -> DataFrame:
+    """`letters`: the counts of eleven letters, modulo 32, in one long; its top bits are 0.
+
+    Each letter is taken out of what the ones before it left, and bytes tell how many went; a step of its own for each
+    letter keeps what is left from being computed again.
+    """
+    left, counts = F.col(line), F.lit(0).cast("long")
     for j, ch in enumerate(COUNTED):
-        count = F.length(line) - F.length(F.replace(line, F.lit(ch), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((count % 32).cast("long"), 5 * j))
-    return out
+        rows = rows.withColumn("_left", left) if j == 0 else rows
+        rows = rows.withColumns({"_less": F.replace("_left", F.lit(ch), F.lit(""))})
+        gone = (F.octet_length("_left") - F.octet_length("_less")) % 32
+        rows = rows.withColumns({"_left": F.col("_less"), "letters": (counts if j == 0 else F.col("letters")).bitwiseOR(F.shiftleft(gone.cast("long"), 5 * j))})
+    return rows.drop("_left", "_less")
 
 
 def _letters_near(a: str, b: str, threshold: int) -> Column:
@@ -135,7 +141,7 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per distinct line: h1, h2, first place, how often, letter counts and probe keys (null if the line is short)."""
     long_enough = F.col("size") >= near_chars
-    keyed = found.select("h1", "h2", "place", F.when(long_enough, _letters(F.col("line"))).alias("letters"), *[
+    keyed = _with_letters(found, "line").select("h1", "h2", "place", F.when(long_enough, F.col("letters")).alias("letters"), *[
         F.when(long_enough, k).alias(n) for n, k in _keys(F.col("line"), F.col("size"), threshold).items()])
     names = [c for c in keyed.columns if c not in ("h1", "h2", "place")]
     return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"),

@@ -106,3 +106,10 @@ def test_segments_cover_the_line(spark):
             assert row[0] == 1 and all(row[2 * i] + row[2 * i + 1] == row[2 * i + 2] for i in range(t)) and row[-2] + row[-1] - 1 == length
         if length > 6:
             break
+
+
+def test_letters_are_counted_once_each(spark):
+    rows = ["", "e", "eeannntt" * 9, "tantalised hedonist", "Ünïcödé lines: häßlich, nördlich", "line\x00of\u4e2d\u6587 odd"]
+    found = linedup._with_letters(spark.createDataFrame([(r,) for r in rows], "line string"), "line").collect()
+    assert {r["line"]: r["letters"] for r in found} == {r: sum((r.count(ch) % 32) << (5 * j) for j, ch in enumerate(linedup.COUNTED)) for r in rows}
+    assert all(set(r.asDict()) == {"line", "letters"} for r in found)
