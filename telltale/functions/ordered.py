@@ -51,7 +51,7 @@ def _across(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*[F.col("_part").getField(k) for k in keys]).orderBy(F.col("_part").getField("_chunk"))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
+def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, *,
          lag: dict[str, Column] | None = None, lead: dict[str, Column] | None = None,
          total: dict[str, Column] | None = None, peak: dict[str, Column] | None = None,
          fill: dict[str, Column] | None = None, fill_next: dict[str, Column] | None = None,
@@ -61,14 +61,15 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
     lag / lead: the value on the row before / after; total: inclusive running sum;
     peak: running maximum over the rows before this one; fill / fill_next: last
     non-null value up to and including / first from this row on; seen: last non-null
-    value before this row; position: 1-based.
+    value before this row; position: 1-based. Without a chunk each stream is one window, for streams
+    that are known to be short: nothing is carried, and scans in the same order share one shuffle.
     """
     lag, lead, total, peak = lag or {}, lead or {}, total or {}, peak or {}
     fill, fill_next, seen = fill or {}, fill_next or {}, seen or {}
     if position:
         total = {**total, position: F.lit(1).cast("long")}
-    rows = _parted(df, keys, chunk)
-    inside = Window.partitionBy("_part").orderBy(*order)
+    rows = df if chunk is None else _parted(df, keys, chunk)
+    inside = Window.partitionBy(*(keys if chunk is None else ["_part"])).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -120,6 +121,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
         local[f"_l_{n}"] = F.first(c, ignorenulls=True).over(onward)
         final[n] = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))
 
+    if chunk is None:
+        found = rows.withColumns(local).withColumns({n: F.lit(None) for n in carried})
+        return found.withColumns(final).drop(*local, *carried)
     carry = rows.groupBy("_part").agg(*summary)
     carry = carry.select(F.col("_part").alias("_of"), *[c.alias(n) for n, c in carried.items()])
     found = rows.withColumns(local).join(carry, F.col("_part") == F.col("_of"), "left")

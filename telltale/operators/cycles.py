@@ -12,15 +12,28 @@ FILE = ["file_id"]
 # Exponents of the amplitude moments.
 MOMENT_POWERS = (2, 3, 4, 5, 6, 7, 8)
 CHUNK_POINTS = 500_000
+WHOLE_POINTS = 100_000  # series up to this length are read in one window each
+WHOLE = "whole"
 
 
-def turning_points(series: DataFrame, chunk: Column | None = None) -> DataFrame:
+def _chunk(series: DataFrame, chunk: Column | str | None) -> Column | str:
+    """The chunk given; without one `WHOLE` if no series has more than `WHOLE_POINTS` points, spans of 90 days otherwise."""
+    if chunk is not None:
+        return chunk
+    longest = series.groupBy(*FILE).count().agg(F.max("count")).first()[0] or 0
+    return WHOLE if longest <= WHOLE_POINTS else time_chunk("ts", 90 * DAY)
+
+
+def _scan(df: DataFrame, chunk: Column | str, **columns) -> DataFrame:
+    return scan(df, FILE, ["ts", "ord"], None if chunk is WHOLE else chunk, **columns)
+
+
+def turning_points(series: DataFrame, chunk: Column | str | None = None) -> DataFrame:
     """First, last and every point where the direction turns; repeats of a value are skipped."""
-    chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
-    order = ["ts", "ord"]
-    step = scan(series, FILE, order, chunk, lag={"_before": F.col("value")})
+    chunk = _chunk(series, chunk)
+    step = _scan(series, chunk, lag={"_before": F.col("value")})
     changed = step.where(F.col("_before").isNull() | (F.col("_before") != F.col("value"))).drop("_before")
-    ends = scan(changed, FILE, order, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")})
+    ends = _scan(changed, chunk, lag={"_b": F.col("value")}, lead={"_a": F.col("value")})
     turn = (F.col("value") - F.col("_b")) * (F.col("_a") - F.col("value")) < 0
     return ends.where(F.col("_b").isNull() | F.col("_a").isNull() | turn).select(*FILE, "ts", "ord", "value")
 
@@ -94,15 +107,15 @@ def _gathered(rest: DataFrame, *keys: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda p: p["value"]).alias("points"))
 
 
-def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points: int = CHUNK_POINTS) -> DataFrame:
+def rainflow_cycles(series: DataFrame, chunk: Column | str | None = None, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """file_id, range, mean, count (1 or ½) of every counted cycle; positive ranges only.
 
     Swings that lie inside their neighbours are closed chunk by chunk, in any order, with
     the same result as one pass. What remains of each chunk is short; it is put together
     in order and counted once per file.
     """
-    chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
-    points = scan(turning_points(series, chunk), FILE, ["ts", "ord"], chunk, position="_pos")
+    chunk = _chunk(series, chunk)
+    points = _scan(turning_points(series, chunk), chunk, position="_pos")
     points = materialize(points.select(
         F.col("file_id").cast("long").alias("file_id"), position_chunk(F.col("_pos") - 1, chunk_points).alias("chunk"),
         F.col("_pos").alias("seq"), "value"))
@@ -132,11 +145,11 @@ def rainflow_cycles(series: DataFrame, chunk: Column | None = None, chunk_points
     return cycles.where("range > 0")
 
 
-def series_statistics(series: DataFrame, chunk: Column | None = None) -> DataFrame:
+def series_statistics(series: DataFrame, chunk: Column | str | None = None) -> DataFrame:
     """Eleven amplitude features and the total variation of every series."""
-    chunk = time_chunk("ts", 90 * DAY) if chunk is None else chunk
+    chunk = _chunk(series, chunk)
     v = F.col("value")
-    step = scan(series, FILE, ["ts", "ord"], chunk, lag={"_before": v})
+    step = _scan(series, chunk, lag={"_before": v})
     basic = step.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("samples"), F.avg(v).alias("mean_stress"), F.avg(F.abs(v)).alias("_am"),
         F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_pop(v).alias("_sd"), (F.max(v) - F.min(v)).alias("range"),
@@ -175,8 +188,9 @@ def cycle_features(cycles: DataFrame) -> DataFrame:
         *[F.log1p(f"_q{q}").alias(f"log_range_q{q}") for q in (50, 90, 99)])
 
 
-def stress_features(series: DataFrame, chunk: Column | None = None) -> DataFrame:
+def stress_features(series: DataFrame, chunk: Column | str | None = None) -> DataFrame:
     """All stress features per series; a series without cycles has counts and ranges of 0."""
+    chunk = _chunk(series, chunk)
     cycles = materialize(rainflow_cycles(series, chunk))
     joined = series_statistics(series, chunk).join(cycle_features(cycles), FILE, "left")
     moments = [f"log_rainflow_amplitude_moment_{p}" for p in MOMENT_POWERS]

@@ -507,3 +507,18 @@ def test_rows_in_blocks_go_down_every_tree(monkeypatch):
 
     want = [2.0 ** (-sum(depth(r, v) for _, r in grown.iterrows()) / 6 / forest.path_norm(40)) for v in x]
     assert np.allclose(forest._raw(*forest._arrays(grown), x), want)
+
+
+def test_short_series_are_read_in_one_window_and_long_ones_in_chunks(spark):
+    from telltale.functions.ordered import DAY, time_chunk
+    rows = [(k, i // 2, i, float((i * i * 7 + (k or 0) * 3) % 11 - (i % 4))) for k in (1, 2, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "file_id long, day int, ord long, value double").selectExpr(
+        "file_id", "timestamp '2024-01-01' + make_dt_interval(day) AS ts", "ord", "value")
+    whole = cycles.turning_points(df)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Join") == 0
+    chunked = cycles.turning_points(df, time_chunk("ts", 7 * DAY))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, chunked.collect()))
+    near = [[round(v, 9) if isinstance(v, float) else v for v in r] for r in cycles.stress_features(df).orderBy("file_id").collect()]
+    assert near == [[round(v, 9) if isinstance(v, float) else v for v in r]
+                    for r in cycles.stress_features(df, time_chunk("ts", 7 * DAY)).orderBy("file_id").collect()]
