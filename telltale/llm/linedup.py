@@ -65,12 +65,19 @@ def shifts(threshold: int) -> list[tuple[int, int, int]]:
             for s in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)]
 
 
-def _keys(line: Column, length: Column, threshold: int) -> dict[str, Column]:
-    out = {}
+def _with_keys(rows: DataFrame, line: str, length: str, threshold: int) -> DataFrame:
+    """The probe keys of a line, one column for each of `shifts`.
+
+    Where segments start is a step of its own, so that it is computed once and the code of the keys stays small enough
+    for the JVM to compile it.
+    """
+    starts = {f"_{d}_{i}": segments(F.col(length) - d, threshold)[i][0] for d in range(threshold + 1) for i in range(1, threshold + 1)}
+    keys = {}
     for d, i, s in shifts(threshold):
-        start, size = segments(length - d, threshold)[i]
-        out[f"k{d}_{i}_{s}"] = F.xxhash64(F.lit(i), length - d, F.substring(line, start + s, size))
-    return out
+        start = F.col(f"_{d}_{i}") if i else F.lit(1)
+        end = F.col(f"_{d}_{i + 1}") if i < threshold else F.col(length) - d + 1
+        keys[f"k{d}_{i}_{s}"] = F.xxhash64(F.lit(i), F.col(length) - d, F.substring(F.col(line), start + s, end - start))
+    return rows.withColumns(starts).withColumns(keys).drop(*starts)
 
 
 def _with_letters(rows: DataFrame, line: str) -> DataFrame:
@@ -139,10 +146,10 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """One row per distinct line: h1, h2, first place, how often, letter counts and probe keys (null if the line is short)."""
-    long_enough = F.col("size") >= near_chars
-    keyed = _with_letters(found, "line").select("h1", "h2", "place", F.when(long_enough, F.col("letters")).alias("letters"), *[
-        F.when(long_enough, k).alias(n) for n, k in _keys(F.col("line"), F.col("size"), threshold).items()])
+    """One row per distinct line: h1, h2, first place, how often, letter counts (null if the line is short) and probe keys."""
+    keyed = _with_keys(_with_letters(found, "line"), "line", "size", threshold)
+    keyed = keyed.withColumn("letters", F.when(F.col("size") >= near_chars, F.col("letters"))).drop(
+        "doc_id", "text_hash", "pos", "line", "size")
     names = [c for c in keyed.columns if c not in ("h1", "h2", "place")]
     return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"),
                                          *[F.min(c).alias(c) for c in names])
@@ -151,7 +158,7 @@ def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_C
 def candidates(known: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of lines (by h1) that share a segment of the shorter line and could be within the threshold, each once."""
     names = {s: f"k{s[0]}_{s[1]}_{s[2]}" for s in shifts(threshold)}
-    near = known.where(F.col(names[(0, 0, 0)]).isNotNull())
+    near = known.where(F.col("letters").isNotNull())
     index = near.select(F.explode(F.array(*[names[(0, i, 0)] for i in range(threshold + 1)])).alias("key"), F.col("h1").alias("a"), F.col("letters").alias("la"))
     # The top bits of a probe say whether it is for its own length: then one of the two directions is enough.
     own = F.lit(1 << 60).cast("long")

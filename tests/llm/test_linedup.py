@@ -1,5 +1,6 @@
 """The edit join against all pairs, and the verdicts against a plain scan."""
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,30 @@ def test_letters_are_counted_once_each(spark):
     found = linedup._with_letters(spark.createDataFrame([(r,) for r in rows], "line string"), "line").collect()
     assert {r["line"]: r["letters"] for r in found} == {r: sum((r.count(ch) % 32) << (5 * j) for j, ch in enumerate(linedup.COUNTED)) for r in rows}
     assert all(set(r.asDict()) == {"line", "letters"} for r in found)
+
+
+def test_code_of_the_facts_is_small_enough_to_be_compiled(spark, real_docs, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linedup.facts(linedup.lines(real_docs)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_keys_are_those_of_the_segments(spark):
+    texts = ["abcdefghijklmnop", "abcdefghijklmnopq", "abcdé 漢字 😀 ghijklm", "x" * 40 + "yz" * 13, "twelve chars"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = linedup.lines(df, 10)
+    for threshold in (1, 2, 3):
+        plain = {}
+        for d, i, s in linedup.shifts(threshold):
+            start, size = linedup.segments(F.col("size") - d, threshold)[i]
+            plain[f"k{d}_{i}_{s}"] = F.xxhash64(F.lit(i), F.col("size") - d, F.substring("line", start + s, size))
+        want = found.select("h1", *[k.alias(n) for n, k in plain.items()])
+        known = linedup.facts(found, threshold, 14)
+        assert sorted(known.select(want.columns).collect()) == sorted(want.collect())
+        assert known.where("letters IS NULL").count() == 1
