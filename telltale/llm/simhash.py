@@ -9,7 +9,7 @@ so comparing owners with visitors per anchor finds every pair within the thresho
 3 there are two blocks with codes of 31 bits: 2^26 anchors each, 16 visits.
 
 Only distinct fingerprints are compared, so copies cost one row whatever their number. The compare is an
-equi-join with a bit count as its condition; it gives linked pairs only, and the planner splits a crowded
+equi-join by shuffle with a bit count as its condition; it gives linked pairs only, and the planner splits a crowded
 anchor. Groups are connected components; every round of that is written to the shared folder.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0, linked like any
@@ -123,8 +123,12 @@ def _anchored(fps: DataFrame, threshold: int, visits: bool) -> DataFrame:
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs a < b (as signed longs) of distinct fingerprints that differ in at most `threshold` bits, each once."""
-    owners = _anchored(fps, threshold, visits=False).withColumnRenamed("fp", "a")
+    """Pairs a < b (as signed longs) of distinct fingerprints that differ in at most `threshold` bits, each once.
+
+    The planner takes a table after an explode for as long as before, so it would broadcast all visits of a small table of
+    fingerprints; the hint has them joined by a shuffle at every size.
+    """
+    owners = _anchored(fps, threshold, visits=False).withColumnRenamed("fp", "a").hint("merge")
     visitors = _anchored(fps, threshold, visits=True).withColumnRenamed("fp", "b")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold) & (F.col("a") < F.col("b"))
     return owners.join(visitors, (owners["block"] == visitors["block"]) & (owners["anchor"] == visitors["anchor"]) & near
