@@ -156,10 +156,14 @@ def facts(found: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_C
 
 
 def candidates(known: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of lines (by h1) that share a segment of the shorter line and could be within the threshold, each once."""
+    """Pairs of lines (by h1) that share a segment of the shorter line and could be within the threshold, each once.
+
+    The planner does not see how many rows an array gives, and would broadcast the probes of a small table; the hint has both
+    sides shuffled at every size.
+    """
     names = {s: f"k{s[0]}_{s[1]}_{s[2]}" for s in shifts(threshold)}
     near = known.where(F.col("letters").isNotNull())
-    index = near.select(F.explode(F.array(*[names[(0, i, 0)] for i in range(threshold + 1)])).alias("key"), F.col("h1").alias("a"), F.col("letters").alias("la"))
+    index = near.select(F.explode(F.array(*[names[(0, i, 0)] for i in range(threshold + 1)])).alias("key"), F.col("h1").alias("a"), F.col("letters").alias("la")).hint("merge")
     # The top bits of a probe say whether it is for its own length: then one of the two directions is enough.
     own = F.lit(1 << 60).cast("long")
     probes = near.select(F.inline(F.array(*[

@@ -40,6 +40,7 @@ KEYS = 30
 MINIMA = 5  # of one key
 PIVOTS = 8
 SKETCH = 32  # longs of a shingle set's parities
+BROADCAST_KEYS = 100_000  # with more shared keys, members and keys meet by a shuffle
 CACHED = 64  # shingle sets that a worker keeps while it compares
 FACTORS = np.random.default_rng(SEED).integers(0, 2 ** 31, KEYS * MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
@@ -165,7 +166,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("pivot")).where(
         "n > 1").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
-    met = materialize(members.join(shared, "key"))
+    # The planner does not see that a text has a row for each key, and could broadcast the members instead of many shared keys.
+    met = materialize(members.join(shared if shared.count() <= BROADCAST_KEYS else shared.hint("merge"), "key"))
     sketches = materialize(nodes.select("node", "size", "odd").join(met.select("node").distinct(), "node", "left_semi"))
     close = materialize(_by_fingerprint(nodes.select("node", "size", "fp")).where(_sizes_near("a_size", "b_size", similarity)).select("a", "b"))
     links = _checked(close, rows, docs, similarity, shingle)

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from telltale.llm import simhash
+from telltale.llm import linedup, nearcopies, simhash
+
+import corpus_pipeline
 from telltale.session import materialize
 
 
@@ -57,3 +59,22 @@ def test_op2_broadcasts_no_more_rows_than_documents(static, monkeypatch):
     df = static.createDataFrame(texts(random.Random(2), 150), "doc_id long, text string")
     sent += broadcasts(simhash.groups(df))
     assert all(n <= 150 for n in sent)  # the visits are 32 a fingerprint
+
+
+def test_near_copies_broadcast_no_more_rows_than_shared_keys(static, monkeypatch):
+    sent = []
+    for module in (simhash, nearcopies):
+        plain = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, plain=plain: sent.extend(broadcasts(df)) or plain(df))
+    monkeypatch.setattr(nearcopies, "BROADCAST_KEYS", 100, raising=False)
+    df = static.createDataFrame(texts(random.Random(3), 90), "doc_id long, text string")
+    kept = corpus_pipeline.copies_stage(static, df, "")
+    assert kept.count() == 60
+    assert sent and max(sent) <= 15 * 90  # two texts for each shared key at least; the visits are 32 a text
+
+
+def test_probes_of_lines_are_not_broadcast(static):
+    draw = random.Random(4)
+    rows = [(i, "\n".join("".join(draw.choice("abcdefgh ") for _ in range(30)) for _ in range(4))) for i in range(50)]
+    known = materialize(linedup.facts(linedup.lines(static.createDataFrame(rows, "doc_id long, text string"))))
+    assert broadcasts(linedup.candidates(known)) == []
